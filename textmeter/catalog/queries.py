@@ -20,7 +20,7 @@ from textmeter.operators import (
 from textmeter.plans import study
 from textmeter.plans.audit import integrity_audit
 from textmeter.plans.transformer_data import evaluate_transformer, transformer_data
-from textmeter.session import fresh_path
+from textmeter.session import fresh_path, spread
 from textmeter.sources import models as model_files, tables as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,15 +41,17 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def reviews(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("review"))
     labels = table(spark, sf, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("sentiment"))
-    return docs.join(labels, "id")
+    return spread(docs.join(labels, "id"), "id")
 
 
 def documents(spark, sf):
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("review"))
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("review"))
+    return spread(docs, "id")
 
 
 def pages(spark, sf):
-    return table(spark, sf, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("review"))
+    html = table(spark, sf, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("review"))
+    return spread(html, "id")
 
 
 def cleaned(spark, sf):
@@ -483,8 +485,7 @@ def all_feature_sets(spark, sf):
 def _model_query(recipe):
     def run(spark, sf):
         vectors, _ = tfidf_table(spark, sf)
-        rows = vectors.select("id", "split", "sentiment", "tfidf").cache()
-        train, test = rows.filter("split = 'train'"), rows.filter("split = 'test'")
+        train, test = vectors.filter("split = 'train'"), vectors.filter("split = 'test'")
         _, preds = M.train_and_predict(recipe, train, test, "tfidf")
         return preds.select("id", "y_true", "y_pred")
     return run
@@ -502,7 +503,7 @@ QUERIES["random_forest"] = _model_query(_small_forest)
 @query
 def train_and_predict(spark, sf):
     termed, model = fitted(spark, sf)
-    rows = V.count_vectors(termed, model).select("id", "split", "sentiment", "bow").cache()
+    rows = V.count_vectors(termed, model)
     train, test = rows.filter("split = 'train'"), rows.filter("split = 'test'")
     _, preds = M.train_and_predict(M.logistic_regression, train, test, "bow")
     return E.classification_metrics(preds)

@@ -215,9 +215,9 @@ def mean_vectors(df: DataFrame, vectors: DataFrame, tokens: str = "tokens", id_c
     exploded = df.select(id_col, F.explode(tokens).alias("_word"))
     found = join_words(exploded, lookup, "_word", fits_broadcast(lookup), "inner")
     means = found.groupBy(id_col).agg(Summarizer.mean(F.col("_vec")).alias("_mean"))
-    zero = F.array_repeat(F.lit(0.0), dim)
+    zero = array_to_vector(F.array_repeat(F.lit(0.0), dim))
     whole = df.select(id_col).join(means, id_col, "left")
-    return whole.select(id_col, F.coalesce(vector_to_array("_mean"), zero).alias(out))
+    return whole.select(id_col, vector_to_array(F.coalesce("_mean", zero)).alias(out))
 
 
 def hybrid_vectors(df: DataFrame, scores: DataFrame, tfidf: str = "tfidf", id_col: str = "id",

@@ -2,19 +2,22 @@
 
 Rows are ordered by ``(md5(id|seed), id)``. Because md5 spreads ids evenly, its
 first hex digits cut the order into buckets of equal expected size, whatever
-the class sizes are. Counting rows per bucket (partial aggregation, at most
-``BUCKETS`` rows per class) tells where any rank lies, so
+the class sizes are. The number of rows per class and bucket, at most
+``2 * BUCKETS`` small rows however large the table, tells where any rank lies:
 
 * ``ranks`` sorts inside small buckets and adds each bucket's offset, instead
   of sorting a whole class (or table) in one task;
-* ``first_rows`` needs no sort at all beyond the one bucket per class that
-  holds the cut, and then flags rows by comparing keys: a map-side projection.
+* ``first_rows`` sorts only the one bucket per class that holds the cut. It
+  looks up that one key per class when called; flagging rows is then a
+  comparison with a constant, a projection however often it is reused.
 
 ``id`` must be unique. Labels are binary.
 """
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from textmeter import resources as R
@@ -28,16 +31,17 @@ def hash_key(id_col: Column, seed: int = R.SEED) -> Column:
     return F.md5(F.concat(id_col.cast("string"), F.lit(f"|{seed}")).cast("binary"))
 
 
+def _stratum(label: str | None) -> Column:
+    return F.lit(0) if label is None else F.col(label).cast("int")
+
+
 def _keyed(df: DataFrame, id_col: str, label: str | None, seed: int) -> DataFrame:
     """Narrow view: class, key, id and bucket of each row."""
-    if label is None:
-        stratum = F.lit(0)
-    else:
+    if label is not None:
         df = df.filter(F.col(label).isin(*CLASSES))
-        stratum = F.col(label).cast("int")
     key = hash_key(F.col(id_col), seed)
     return df.select(
-        stratum.alias("_class"),
+        _stratum(label).alias("_class"),
         key.alias("_key"),
         F.col(id_col).alias("_id"),
         F.conv(F.substring(key, 1, HEX_DIGITS), 16, 10).cast("int").alias("_bucket"),
@@ -48,22 +52,15 @@ def _per_bucket(keyed: DataFrame) -> DataFrame:
     return keyed.groupBy("_class", "_bucket").agg(F.count("*").alias("_n"))
 
 
-def _running(keyed: DataFrame) -> DataFrame:
-    """Rows up to and including each bucket, per class; at most 2 * BUCKETS rows."""
-    upto = W.partitionBy("_class").orderBy("_bucket")
-    return _per_bucket(keyed).withColumn("_upto", F.sum("_n").over(upto))
-
-
 def ranks(df: DataFrame, out: str, id_col: str = "id", label: str | None = None, seed: int = R.SEED) -> DataFrame:
     """Add the 1-based rank of each row in hash order, per class if ``label`` is given."""
-    keyed = _keyed(df, id_col, label, seed)
+    earlier = W.partitionBy("_class").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    counts = _per_bucket(_keyed(df, id_col, label, seed))
     # Proven bound: one row per class and bucket.
     offsets = F.broadcast(
-        _running(keyed).select("_class", "_bucket", (F.col("_upto") - F.col("_n")).alias("_before"))
+        counts.select("_class", "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     )
-    key = hash_key(F.col(id_col), seed)
-    stratum = F.lit(0) if label is None else F.col(label).cast("int")
-    bucketed = df.withColumn("_class", stratum).withColumn("_key", key).withColumn(
+    bucketed = df.withColumn("_class", _stratum(label)).withColumn("_key", hash_key(F.col(id_col), seed)).withColumn(
         "_bucket", F.conv(F.substring("_key", 1, HEX_DIGITS), 16, 10).cast("int")
     )
     inside = W.partitionBy("_class", "_bucket").orderBy("_key", id_col)
@@ -75,61 +72,58 @@ def ranks(df: DataFrame, out: str, id_col: str = "id", label: str | None = None,
     )
 
 
-def first_rows(
-    df: DataFrame,
-    quotas: DataFrame,
-    flag: str,
-    id_col: str = "id",
-    label: str | None = None,
-    seed: int = R.SEED,
-) -> DataFrame:
-    """Flag the first ``k`` rows of each class in hash order.
+class HashOrder:
+    """The hash order of one table: its class sizes, and prefixes of it.
 
-    ``quotas`` has columns ``(_class, k)``, one row per class (a single row when
-    ``label`` is None); a class without a row, or with k <= 0, gets no flag.
+    Building it counts rows per class and bucket, reading id and label only.
     """
-    keyed = _keyed(df, id_col, label, seed)
-    # Proven bound: quotas, edges and cuts hold one row per class.
-    running = _running(keyed)
-    if label is None:
-        running = running.withColumn("k", quotas.select("k").scalar())
-    else:
-        running = running.join(F.broadcast(quotas.select("_class", "k")), "_class")
-    edges = (
-        running.withColumn("_need", F.least(F.col("k"), F.max("_upto").over(W.partitionBy("_class"))))
-        .filter((F.col("_need") <= F.col("_upto")) & (F.col("_need") > F.col("_upto") - F.col("_n")))
-        .select("_class", "_bucket", (F.col("_need") - F.col("_upto") + F.col("_n")).alias("_need"))
-    )
-    inside = W.partitionBy("_class", "_bucket").orderBy("_key", "_id")
-    cuts = (
-        keyed.join(F.broadcast(edges), ["_class", "_bucket"])
-        .withColumn("_in", F.row_number().over(inside))
-        .filter(F.col("_in") == F.col("_need"))
-        .select("_class", F.struct(F.col("_key"), F.col("_id")).alias("_cut"))
-    )
-    here = F.struct(hash_key(F.col(id_col), seed).alias("_key"), F.col(id_col).alias("_id"))
-    if label is None:
-        cut = cuts.select("_cut").scalar()
-        return df.withColumn(flag, F.coalesce(here <= cut, F.lit(False)))
-    by_class = cuts.select(F.col("_class").alias("_of"), "_cut")
-    return (
-        df.join(F.broadcast(by_class), F.col(label).cast("int") == F.col("_of"), "left")
-        .withColumn(flag, F.coalesce(here <= F.col("_cut"), F.lit(False)))
-        .drop("_of", "_cut")
-    )
-
-
-def class_sizes(df: DataFrame, label: str | None, id_col: str = "id", seed: int = R.SEED) -> DataFrame:
-    """One row (n, n0, n1), summed from the bucket counts the cut needs anyway."""
-    buckets = _per_bucket(_keyed(df, id_col, label, seed))
-    sums = [F.coalesce(F.sum(F.when(F.col("_class") == c, F.col("_n"))), F.lit(0)).alias(f"n{c}") for c in CLASSES]
-    return buckets.agg(*sums).select((F.col("n0") + F.col("n1")).alias("n"), "n0", "n1")
-
 
-def per_class(sizes: DataFrame, k0: Column, k1: Column) -> DataFrame:
-    """Two rows (n, _class, size, k) from the one row of class sizes."""
-    rows = [
-        F.struct(F.lit(c).alias("_class"), F.col(f"n{c}").alias("size"), k.cast("bigint").alias("k"))
-        for c, k in zip(CLASSES, (k0, k1))
-    ]
-    return sizes.select("n", F.inline(F.array(*rows)))
+    def __init__(self, df: DataFrame, id_col: str = "id", label: str | None = None, seed: int = R.SEED):
+        self.df, self.id_col, self.label, self.seed = df, id_col, label, seed
+        self._rows = _keyed(df, id_col, label, seed)
+        # Proven bound: 2 * BUCKETS rows of three integers.
+        self._buckets = sorted(tuple(r) for r in _per_bucket(self._rows).collect())
+
+    def size(self, stratum: int = 0) -> int:
+        return sum(n for c, _, n in self._buckets if c == stratum)
+
+    @property
+    def total(self) -> int:
+        return sum(n for _, _, n in self._buckets)
+
+    def _edges(self, quotas: Mapping[int, int]) -> list[tuple[int, int, int]]:
+        """(class, bucket, place inside the bucket) of the last row of each prefix."""
+        edges, seen = [], dict.fromkeys(quotas, 0)
+        wanted = {c: min(k, self.size(c)) for c, k in quotas.items()}
+        for c, bucket, n in self._buckets:
+            if c in wanted and seen[c] < wanted[c] <= seen[c] + n:
+                edges.append((c, bucket, wanted[c] - seen[c]))
+            if c in seen:
+                seen[c] += n
+        return edges
+
+    def first_rows(self, quotas: Mapping[int, int], flag: str) -> DataFrame:
+        """Flag the first ``quotas[c]`` rows of each class ``c`` (class 0 without a label)."""
+        edges = self._edges(quotas)
+        chosen = F.lit(False)
+        if edges:
+            here = [(F.col("_class") == c) & (F.col("_bucket") == b) for c, b, _ in edges]
+            place = [at & (F.col("_in") == k) for at, (_, _, k) in zip(here, edges)]
+            inside = W.partitionBy("_class", "_bucket").orderBy("_key", "_id")
+            held = self._rows.filter(_any(here)).withColumn("_in", F.row_number().over(inside))
+            # Proven bound: one row per class.
+            for cut in held.filter(_any(place)).select("_class", "_key", "_id").collect():
+                chosen = chosen | self._upto(cut)
+        return self.df.withColumn(flag, chosen)
+
+    def _upto(self, cut) -> Column:
+        here = F.struct(hash_key(F.col(self.id_col), self.seed).alias("_key"), F.col(self.id_col).alias("_id"))
+        reached = here <= F.struct(F.lit(cut["_key"]).alias("_key"), F.lit(cut["_id"]).alias("_id"))
+        return reached if self.label is None else (F.col(self.label) == cut["_class"]) & reached
+
+
+def _any(conditions: list[Column]) -> Column:
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out | c
+    return out

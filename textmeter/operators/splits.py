@@ -8,40 +8,42 @@ compares each row's key with one cut per class.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, functions as F
 
 from textmeter import resources as R
-from textmeter.operators import hash_order as H
+from textmeter.operators.hash_order import CLASSES, HashOrder, ranks
 
 
-def _largest_remainder(sizes: DataFrame, total) -> DataFrame:
-    """(_class, size, k): ``total`` rows shared out in proportion to the class sizes."""
-    sized = sizes.withColumn("m", total.cast("bigint"))
-    # Doubles before multiplying: the product of two row counts can exceed a bigint.
-    share0 = F.col("n0").cast("double") * F.col("m") / F.col("n")
-    share1 = F.col("n1").cast("double") * F.col("m") / F.col("n")
-    short = F.col("m") - F.floor(share0) - F.floor(share1)
-    extra1 = (share1 - F.floor(share1)) > (share0 - F.floor(share0))
-    k1 = F.floor(share1) + F.when((short == 1) & extra1, 1).otherwise(0)
-    return H.per_class(sized, F.col("m") - k1, k1)
+def proportional_quotas(sizes: dict[int, int], total: int) -> dict[int, int]:
+    """``total`` rows shared out in proportion to the class sizes, by largest remainder (low class first)."""
+    n = sum(sizes.values())
+    if n == 0:
+        return dict.fromkeys(sizes, 0)
+    quotas = {c: size * total // n for c, size in sizes.items()}
+    by_remainder = sorted(sizes, key=lambda c: (-(sizes[c] * total % n), c))
+    for c in by_remainder[: total - sum(quotas.values())]:
+        quotas[c] += 1
+    return quotas
 
 
-def test_size(n, share: float):
-    """ceil(share * n) in double arithmetic."""
-    return F.ceil(F.lit(float(share)) * n.cast("double"))
+def _class_sizes(order: HashOrder) -> dict[int, int]:
+    return {c: order.size(c) for c in CLASSES}
 
 
 def _split(df, held_out, side, rest, id_col, label, seed):
-    sizes = H.class_sizes(df, label, id_col, seed)
-    quotas = _largest_remainder(sizes, F.col("n") - held_out)
-    flagged = H.first_rows(df, quotas, "_first", id_col, label, seed)
+    """Rows outside a stratified prefix of n - held_out(n) rows are the held-out side."""
+    order = HashOrder(df, id_col, label, seed)
+    quotas = proportional_quotas(_class_sizes(order), order.total - held_out(order.total))
+    flagged = order.first_rows(quotas, "_first")
     return flagged.withColumn("split", F.when(F.col("_first"), rest).otherwise(side)).drop("_first")
 
 
 def stratified_split(df: DataFrame, share: float = R.TEST_SHARE, label: str = "sentiment",
                      id_col: str = "id", seed: int = R.SEED) -> DataFrame:
-    """Add ``split`` = train/test with exact class proportions."""
-    return _split(df, test_size(F.col("n"), share), "test", "train", id_col, label, seed)
+    """Add ``split`` = train/test with exact class proportions; test holds ceil(share * n) rows."""
+    return _split(df, lambda n: math.ceil(share * n), "test", "train", id_col, label, seed)
 
 
 def split_balance(df: DataFrame, label: str = "sentiment") -> DataFrame:
@@ -57,13 +59,12 @@ def balanced_sample(df: DataFrame, n: int | None, label: str = "sentiment",
     """n // 2 positives (or all of them), negatives for the rest; everything if n covers the table."""
     if n is None:
         return df
-    sizes = H.class_sizes(df, label, id_col, seed)
-    half = F.least(F.lit(n // 2).cast("bigint"), F.col("n1"))
-    whole = F.lit(n) >= F.col("n")
-    k1 = F.when(whole, F.col("n1")).otherwise(half)
-    k0 = F.when(whole, F.col("n0")).otherwise(F.least(F.lit(n).cast("bigint") - half, F.col("n0")))
-    flagged = H.first_rows(df, H.per_class(sizes, k0, k1), "_in", id_col, label, seed)
-    return flagged.filter("_in").drop("_in")
+    order = HashOrder(df, id_col, label, seed)
+    if n >= order.total:
+        return df
+    positives = min(n // 2, order.size(1))
+    quotas = {1: positives, 0: n - positives}
+    return order.first_rows(quotas, "_in").filter("_in").drop("_in")
 
 
 def proportional_sample(df: DataFrame, n: int | None, label: str = "sentiment",
@@ -71,45 +72,44 @@ def proportional_sample(df: DataFrame, n: int | None, label: str = "sentiment",
     """n rows in class proportion: the held-out side of a split of absolute size."""
     if n is None:
         return df
-    held_out = F.least(F.lit(n).cast("bigint"), F.col("n"))
-    return _split(df, held_out, "test", "train", id_col, label, seed).filter("split = 'test'").drop("split")
+    split = _split(df, lambda total: min(n, total), "test", "train", id_col, label, seed)
+    return split.filter("split = 'test'").drop("split")
 
 
-def _validation_size(n, share, floor):
-    return F.least(F.greatest(F.lit(floor).cast("bigint"), F.floor(n.cast("double") * F.lit(float(share)))), n)
+def _validation_size(n: int, share: float, floor: int) -> int:
+    return min(max(floor, int(n * share)), n)
 
 
 def tail_validation_split(df: DataFrame, share: float = 0.1, floor: int = 50,
                           id_col: str = "id", seed: int = R.SEED) -> DataFrame:
     """Add ``split`` = train/val; val is the last max(floor, share * n) rows of the shuffled order."""
-    quota = H.class_sizes(df, None, id_col, seed).select(
-        (F.col("n") - _validation_size(F.col("n"), share, floor)).alias("k")
-    )
-    flagged = H.first_rows(df, quota, "_first", id_col, None, seed)
+    order = HashOrder(df, id_col, None, seed)
+    kept = order.total - _validation_size(order.total, share, floor)
+    flagged = order.first_rows({0: kept}, "_first")
     return flagged.withColumn("split", F.when(F.col("_first"), "train").otherwise("val")).drop("_first")
 
 
 def stratified_validation_split(df: DataFrame, share: float = 0.1, floor: int = 50, label: str = "sentiment",
                                 id_col: str = "id", seed: int = R.SEED) -> DataFrame:
     """Add ``split`` = train/val; val holds max(floor, share * n) rows in class proportion."""
-    return _split(df, _validation_size(F.col("n"), share, floor), "val", "train", id_col, label, seed)
+    return _split(df, lambda n: _validation_size(n, share, floor), "val", "train", id_col, label, seed)
 
 
 def uniform_sample(df: DataFrame, n: int, id_col: str = "id", seed: int = R.SEED) -> DataFrame:
     """Exactly min(n, rows) rows, each equally likely."""
-    quota = df.sparkSession.range(1).select(F.lit(n).cast("bigint").alias("k"))
-    return H.first_rows(df, quota, "_in", id_col, None, seed).filter("_in").drop("_in")
+    order = HashOrder(df, id_col, None, seed)
+    return order.first_rows({0: n}, "_in").filter("_in").drop("_in")
 
 
 def seeded_shuffle(df: DataFrame, id_col: str = "id", seed: int = R.SEED) -> DataFrame:
     """Add ``position``, each row's place in the shuffled order."""
-    return H.ranks(df, "position", id_col, None, seed)
+    return ranks(df, "position", id_col, None, seed)
 
 
 def stratified_kfold(df: DataFrame, folds: int = 5, label: str = "sentiment",
                      id_col: str = "id", seed: int = R.SEED) -> DataFrame:
     """Add ``fold`` 0..folds-1, dealt round-robin inside each class: sizes differ by at most one."""
-    ranked = H.ranks(df, "_rank", id_col, label, seed)
+    ranked = ranks(df, "_rank", id_col, label, seed)
     return ranked.withColumn("fold", ((F.col("_rank") - 1) % folds).cast("int")).drop("_rank")
 
 
@@ -118,22 +118,25 @@ def bootstrap_resample(df: DataFrame, n: int = 10_000, replace: bool = True, lab
     """n rows in class proportion when the table is larger, else the table as it is.
 
     With replacement, draw ``i`` of a class takes the row whose rank is
-    ``hash(class, i, seed) mod class size``; ``draw`` numbers the draws. Without,
-    it is a proportional sample and ``draw`` numbers nothing (always 1).
+    ``hash(class, i, seed) mod class size``; ``draw`` numbers the draws. Rows
+    that were not drawn again have ``draw`` 1.
     """
+    order = HashOrder(df, id_col, label, seed)
+    if order.total <= n:
+        return df.withColumn("draw", F.lit(1).cast("bigint"))
+    sizes = _class_sizes(order)
     if not replace:
-        return proportional_sample(df, n, label, id_col, seed).withColumn("draw", F.lit(1).cast("bigint"))
-    sizes = H.class_sizes(df, label, id_col, seed)
-    quotas = _largest_remainder(sizes, F.least(F.lit(n).cast("bigint"), F.col("n")))
+        quotas = proportional_quotas(sizes, n)
+        return order.first_rows(quotas, "_in").filter("_in").drop("_in").withColumn("draw", F.lit(1).cast("bigint"))
+    quotas = [(c, sizes[c], k) for c, k in proportional_quotas(sizes, n).items() if k]
     tag = F.concat_ws("|", F.col("_class").cast("string"), F.col("draw").cast("string"), F.lit(str(seed)))
     number = F.conv(F.substring(F.md5(tag.cast("binary")), 1, 15), 16, 10).cast("bigint")
-    # Proven bound: n draws at most.
+    # Proven bound: n draws.
     draws = F.broadcast(
-        quotas.filter("k > 0")
+        df.sparkSession.createDataFrame(quotas, "_class int, size bigint, k bigint")
         .withColumn("draw", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("k"))))
-        .withColumn("_rank", F.when(F.col("n") > n, number % F.col("size") + 1).otherwise(F.col("draw")))
-        .select("_class", "_rank", "draw")
+        .select("_class", "draw", (number % F.col("size") + 1).alias("_rank"))
     )
-    ranked = H.ranks(df.select(id_col, label), "_rank", id_col, label, seed)
+    ranked = ranks(df.select(id_col, label), "_rank", id_col, label, seed)
     picked = ranked.withColumn("_class", F.col(label).cast("int")).join(draws, ["_class", "_rank"])
     return df.join(F.broadcast(picked.select(id_col, "draw")), id_col)

@@ -54,3 +54,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows over all cores, when the table arrives in fewer pieces.
+
+    A file with a single row group is one task, whatever its size. A table in
+    many files passes through without a shuffle. Adaptive execution merges
+    partitions that turn out tiny.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(key)
