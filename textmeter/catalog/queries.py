@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from textmeter import resources as R
 from textmeter.catalog import words as N
@@ -101,6 +101,9 @@ def tfidf_table(spark, sf):
     return V.tfidf_vectors(V.count_vectors(termed, model), model), model
 
 
+LEXICON_RULES = {"boosters": N.BOOSTERS, "negators": N.NEGATORS, "polarity_negators": N.POLARITY_NEGATORS}
+
+
 def valence_lexicon(spark):
     return spark.createDataFrame(list(N.VALENCE), "term string, valence double")
 
@@ -115,8 +118,6 @@ def word_vectors(spark, sf):
     counts = Q.token_counts(documents(spark, sf).select(X.array_text(X.clean_tokens(F.col("review"))).alias("cleaned_review")))
     n = vectors.count()
     top = V.top_terms(counts.select(F.col("token").alias("term"), F.col("n").alias("tf")), n)
-    from pyspark.sql import Window as W
-
     numbered = top.withColumn("position", (F.row_number().over(W.orderBy(F.desc("tf"), "term")) - 1).cast("bigint"))
     return numbered.join(vectors, "position").select(F.col("term").alias("word"), "vector")
 
@@ -457,16 +458,15 @@ def lexicon_valence(spark, sf):
 
 @query
 def lexicon_polarity(spark, sf):
-    return L.polarity_scores(documents(spark, sf), polarity_lexicon(spark), N.POLARITY_NEGATORS)
+    scores = L.polarity_scores(documents(spark, sf), polarity_lexicon(spark), N.POLARITY_NEGATORS)
+    return scores.select("id", F.round("polarity", 10).alias("polarity"), F.round("subjectivity", 10).alias("subjectivity"))
 
 
 @query
 def hybrid_features(spark, sf):
     vectors, _ = tfidf_table(spark, sf)
-    scores = L.lexicon_scores(
-        reviews(spark, sf), valence_lexicon(spark), polarity_lexicon(spark), boosters=N.BOOSTERS, negators=N.NEGATORS
-    )
-    weights = V.entries(V.hybrid_vectors(vectors, scores), "hybrid").select("id", "idx", F.round("weight", 6).alias("weight"))
+    scores = L.lexicon_scores(reviews(spark, sf), valence_lexicon(spark), polarity_lexicon(spark), **LEXICON_RULES)
+    weights = V.entries(V.hybrid_vectors(vectors, scores), "hybrid").select("id", "idx", F.round("weight", 8).alias("weight"))
     return weights.filter("weight <> 0")
 
 
@@ -474,7 +474,7 @@ def hybrid_features(spark, sf):
 def all_feature_sets(spark, sf):
     sets = V.all_feature_sets(
         split_cleaned(spark, sf), valence_lexicon(spark), polarity_lexicon(spark),
-        word2vec_dim=16, word2vec_epochs=1, boosters=N.BOOSTERS, negators=N.NEGATORS,
+        word2vec_dim=16, word2vec_epochs=1, **LEXICON_RULES,
     )
     sizes = [F.unwrap_udt(F.col(c)).getField("values") for c in sets.columns.values()]
     return sets.table.select("id", "split", *[F.size(s).alias(n) for s, n in zip(sizes, sets.columns.values())])
