@@ -154,8 +154,8 @@ def _key(seed: int = R.SEED) -> str:
     return f"md5(CAST(id AS VARCHAR) || '|{seed}'), id"
 
 
-def _rank(label: bool) -> str:
-    return f"row_number() OVER ({'PARTITION BY sentiment ' if label else ''}ORDER BY {_key()})"
+def _rank(label: bool, seed: int = R.SEED) -> str:
+    return f"row_number() OVER ({'PARTITION BY sentiment ' if label else ''}ORDER BY {_key(seed)})"
 
 
 ORACLES["seeded_shuffle"] = sql(f"SELECT id, {_rank(False)} AS position FROM reviews", "reviews")
@@ -196,7 +196,7 @@ ORACLES["proportional_sample"] = sql("SELECT id, sentiment FROM s_prop WHERE spl
 _val = "least(greatest(50, CAST(floor(CAST(0.1 AS DOUBLE) * n) AS BIGINT)), n)"
 ORACLES["tail_validation_split"] = sql(
     f"""SELECT id, CASE WHEN rank <= n - {_val} THEN 'train' ELSE 'val' END AS split
-    FROM (SELECT *, {_rank(False)} AS rank FROM reviews), sizes""", "reviews", "sizes")
+    FROM (SELECT *, {_rank(False, R.SEED + 1)} AS rank FROM reviews), sizes""", "reviews", "sizes")
 quota_cte("q_val", f"n - {_val}")
 cte("s_val", split_sql("q_val", "train", "val"), "reviews", "q_val")
 ORACLES["stratified_validation_split"] = sql("SELECT id, sentiment, split FROM s_val", "s_val")
@@ -611,7 +611,7 @@ ORACLES["integrity_audit"] = sql(
     UNION ALL SELECT 'class_balance', 'ratio', ratio, CASE WHEN balanced THEN 'ok' ELSE 'imbalanced' END FROM kept_balance)""",
     "kept_dups", "kept_leaks", "kept_words", "kept_lengths", "kept_balance")
 
-cte("tdp_train", f"""SELECT *, row_number() OVER (ORDER BY {_key()}) AS position, count(*) OVER () AS total FROM (
+cte("tdp_train", f"""SELECT *, row_number() OVER (ORDER BY {_key(R.SEED + 1)}) AS position, count(*) OVER () AS total FROM (
     SELECT * FROM (SELECT s.*, row_number() OVER (PARTITION BY sentiment ORDER BY {_key()}) AS r,
     count(*) FILTER (sentiment = 1) OVER () AS p, count(*) FILTER (sentiment = 0) OVER () AS m
     FROM (SELECT id, sentiment FROM split WHERE split = 'train') s)

@@ -81,8 +81,12 @@ def _validation_size(n: int, share: float, floor: int) -> int:
 
 
 def tail_validation_split(df: DataFrame, share: float = 0.1, floor: int = 50,
-                          id_col: str = "id", seed: int = R.SEED) -> DataFrame:
-    """Add ``split`` = train/val; val is the last max(floor, share * n) rows of the shuffled order."""
+                          id_col: str = "id", seed: int = R.SEED + 1) -> DataFrame:
+    """Add ``split`` = train/val; val is the last max(floor, share * n) rows of the shuffled order.
+
+    The order must not be the one a sample was drawn by: in that one a class
+    that was thinned out more ends earlier. Hence another seed than there.
+    """
     order = HashOrder(df, id_col, None, seed)
     kept = order.total - _validation_size(order.total, share, floor)
     flagged = order.first_rows({0: kept}, "_first")

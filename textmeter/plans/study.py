@@ -61,14 +61,13 @@ def sentiment_study(reviews: DataFrame, valence: DataFrame, polarity: DataFrame,
     sets = V.all_feature_sets(
         prepared, valence, polarity, max_features, word2vec_dim, word2vec_epochs, **lexicon_rules
     )
-    experiments = M.experiment_grid(sets.table, sets.columns, models)
+    fitted = {}
+    experiments = M.experiment_grid(sets.table, sets.columns, models, fitted=fitted, keep=("TF-IDF",))
     results = E.results_table(experiments)
 
-    errors, curves = {}, {}
     train, test = sets.table.filter("split = 'train'"), sets.table.filter("split = 'test'")
-    for name, recipe in models.items():
-        _, preds = M.train_and_predict(recipe, train, test, sets.columns["TF-IDF"])
-        errors[name] = E.error_analysis(preds)
+    errors = {name: E.error_analysis(M.predict(model, test)) for (name, _), model in fitted.items()}
+    curves = {}
     for name, feature in CURVES:
         if name in models and curve_steps:
             curves[name, feature] = M.learning_curve(

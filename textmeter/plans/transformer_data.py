@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from textmeter import resources as R
 from textmeter.operators import evaluation as E, splits as S
+from textmeter.operators.models import argmax_prediction
 from textmeter.sources.tables import upsert_result
 
 
@@ -20,11 +21,12 @@ def transformer_data(df: DataFrame, train_size: int | None = None, test_size: in
 
     ``balanced`` forces equal classes and takes the tail as validation; otherwise
     both sample and validation keep class proportions, and test is left whole.
+    The tail is taken in another order than the sample was drawn by.
     """
     train = df.filter("split = 'train'").drop("split")
     test = df.filter("split = 'test'").drop("split")
     if balanced:
-        train = S.tail_validation_split(S.balanced_sample(train, train_size, seed=seed), seed=seed)
+        train = S.tail_validation_split(S.balanced_sample(train, train_size, seed=seed), seed=seed + 1)
         test = S.balanced_sample(test, test_size, seed=seed)
     else:
         train = S.stratified_validation_split(S.proportional_sample(train, train_size, seed=seed), seed=seed)
@@ -42,8 +44,6 @@ class TransformerReport:
 def evaluate_transformer(scored: DataFrame, baseline: DataFrame, results: DataFrame | None,
                          model: str = "DistilBERT", features: str = "Contextual Embeddings") -> TransformerReport:
     """Metrics of the predictions, per-class report, difference to the baseline row, and the extended results."""
-    from textmeter.operators.models import argmax_prediction
-
     preds = argmax_prediction(scored)
     measured = E.classification_metrics(preds).select(F.lit(model).alias("Model"), F.lit(features).alias("Features"), "*")
     return TransformerReport(
