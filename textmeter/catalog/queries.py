@@ -339,7 +339,7 @@ def normalize_whitespace(spark, sf):
 @query
 def tokenize(spark, sf):
     tokens = planted(spark, sf).select("id", X.tokenize(_normalised(F.col("review"))).alias("_t"))
-    return tokens.select("id", F.posexplode("_t").alias("pos", "token"))
+    return tokens.select("id", F.posexplode_outer("_t").alias("pos", "token")).filter("token IS NOT NULL")
 
 
 @query
@@ -396,8 +396,8 @@ def text_preview(spark, sf):
 
 @query
 def ngrams_1_2(spark, sf):
-    terms = split_terms(spark, sf).select("id", F.explode("terms").alias("term"))
-    return terms.groupBy("id", "term").agg(F.count("*").alias("n"))
+    terms = split_terms(spark, sf).select("id", F.explode_outer("terms").alias("term"))
+    return terms.filter("term IS NOT NULL").groupBy("id", "term").agg(F.count("*").alias("n"))
 
 
 @query

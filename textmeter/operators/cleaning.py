@@ -36,7 +36,8 @@ def lemmatize(df: DataFrame, lemmas: DataFrame, tokens: str = "tokens", id_col:
     """
     words = lemmas.groupBy(F.col("form").alias("_form")).agg(F.min("lemma").alias("_lemma"))
     placed = df.repartition(id_col)
-    exploded = placed.select(id_col, F.posexplode(tokens).alias("_pos", "_form"))
+    # The outer form, since the plain one adds a size test that would clean every text twice.
+    exploded = placed.select(id_col, F.posexplode_outer(tokens).alias("_pos", "_form")).filter("_form IS NOT NULL")
     looked_up = join_words(exploded, words, "_form", fits_broadcast(words))
     lemma = F.coalesce("_lemma", "_form")
     pieces = F.array_sort(F.collect_list(F.struct(F.col("_pos"), lemma.alias("_token"))))

@@ -212,7 +212,8 @@ def mean_vectors(df: DataFrame, vectors: DataFrame, tokens: str = "tokens", id_c
     lookup = vectors.select(
         F.col("word").alias("_word"), array_to_vector(F.col("vector").cast("array<double>")).alias("_vec")
     )
-    exploded = df.select(id_col, F.explode(tokens).alias("_word"))
+    # Outer, so that no size test repeats the work behind the tokens; nulls find no vector.
+    exploded = df.select(id_col, F.explode_outer(tokens).alias("_word"))
     found = join_words(exploded, lookup, "_word", fits_broadcast(lookup), "inner")
     means = found.groupBy(id_col).agg(Summarizer.mean(F.col("_vec")).alias("_mean"))
     zero = array_to_vector(F.array_repeat(F.lit(0.0), dim))
