@@ -20,7 +20,7 @@ from textmeter.operators import (
 from textmeter.plans import study
 from textmeter.plans.audit import integrity_audit
 from textmeter.plans.transformer_data import evaluate_transformer, transformer_data
-from textmeter.session import fresh_path, spread
+from textmeter.session import fresh_path, materialize, spread
 from textmeter.sources import models as model_files, tables as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -116,8 +116,8 @@ def word_vectors(spark, sf):
     """The most frequent document words, each with one row of the embeddings table."""
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("position"), F.col("embedding").alias("vector"))
     counts = Q.token_counts(documents(spark, sf).select(X.array_text(X.clean_tokens(F.col("review"))).alias("cleaned_review")))
-    n = vectors.count()
-    top = V.top_terms(counts.select(F.col("token").alias("term"), F.col("n").alias("tf")), n)
+    stats = materialize(counts.select(F.col("token").alias("term"), F.col("n").alias("tf")), "words")
+    top = V.top_terms(stats, vectors.count())
     numbered = top.withColumn("position", (F.row_number().over(W.orderBy(F.desc("tf"), "term")) - 1).cast("bigint"))
     return numbered.join(vectors, "position").select(F.col("term").alias("word"), "vector")
 
@@ -355,9 +355,11 @@ def min_token_length(spark, sf):
 @query
 def lemmatize(spark, sf):
     tokens = documents(spark, sf).select("id", X.clean_tokens(F.col("review")).alias("tokens"))
-    words = tokens.select(F.explode("tokens").alias("token"))
-    nouns = words.groupBy(F.col("token").alias("term")).count().filter("count >= 3").select("term")
-    lemmas = C.lemma_table(words, nouns)
+    # The lemma table is a resource: built once, then looked up.
+    words = tokens.select(F.explode_outer("tokens").alias("token")).filter("token IS NOT NULL")
+    counts = materialize(words.groupBy("token").count(), "words")
+    nouns = counts.filter("count >= 3").select(F.col("token").alias("term"))
+    lemmas = materialize(C.lemma_table(counts, nouns), "lemmas")
     return C.lemmatize(tokens, lemmas).select("id", X.array_text(F.col("tokens")).alias("result"))
 
 

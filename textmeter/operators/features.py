@@ -23,8 +23,7 @@ from textmeter import resources as R
 from textmeter.functions import text as X
 from textmeter.operators.lexicon import lexicon_scores
 from textmeter.operators.lookup import fits_broadcast, join_words
-
-TOP_K_GROUPS = 32
+from textmeter.session import materialize
 
 
 def with_terms(df: DataFrame, text: str = "cleaned_review", out: str = "terms") -> DataFrame:
@@ -52,26 +51,40 @@ def term_stats(df: DataFrame, terms: str = "terms") -> DataFrame:
     )
 
 
+def _floor_of_top(stats: DataFrame, k: int) -> int:
+    """A power of two that at least k terms reach, and not many more do.
+
+    Counts terms by the binary magnitude of their tf: at most 64 rows.
+    """
+    magnitude = F.floor(F.log2(F.col("tf").cast("double"))).cast("int").alias("m")
+    sizes = stats.groupBy(magnitude).agg(F.count("*").alias("n")).collect()
+    reached = 0
+    for row in sorted(sizes, key=lambda r: -r.m):
+        reached += row.n
+        if reached >= k:
+            # One lower, should a logarithm just below a power of two have been rounded up.
+            return 2 ** max(row.m - 1, 0)
+    return 1
+
+
 def top_terms(stats: DataFrame, k: int) -> DataFrame:
     """The k terms with the largest tf; ties go to the alphabetically first.
 
-    Each of a fixed number of term groups keeps its own k best before the final
-    limit, so that limit sees at most ``TOP_K_GROUPS * k`` rows however many
-    partitions the term table has.
+    A limit takes k rows from every partition to one task. With a large k and
+    many partitions that is too much, so terms clearly below the k-th are
+    dropped where they are; ``stats`` is read twice and should be a written table.
     """
-    group = F.pmod(F.hash("term"), F.lit(TOP_K_GROUPS))
-    best = W.partitionBy("_group").orderBy(F.desc("tf"), "term")
-    reduced = stats.withColumn("_group", group).withColumn("_rank", F.row_number().over(best)).filter(F.col("_rank") <= k)
-    return reduced.drop("_group", "_rank").orderBy(F.desc("tf"), "term").limit(k)
+    contenders = stats.filter(F.col("tf") >= _floor_of_top(stats, k))
+    return contenders.orderBy(F.desc("tf"), "term").limit(k)
 
 
 def vocabulary(df: DataFrame, max_features: int = R.MAX_FEATURES, min_df: int = R.MIN_DF,
                terms: str = "terms") -> DataFrame:
     """(term, idx, tf, df): terms of at least ``min_df`` texts, the most frequent ones, indexed alphabetically."""
-    kept = top_terms(term_stats(df, terms).filter(F.col("df") >= min_df), max_features)
+    stats = materialize(term_stats(df, terms).filter(F.col("df") >= min_df), "terms")
     # At most max_features rows, so one task may number them.
     index = F.row_number().over(W.orderBy("term")) - 1
-    return kept.select("term", index.cast("int").alias("idx"), "tf", "df")
+    return top_terms(stats, max_features).select("term", index.cast("int").alias("idx"), "tf", "df")
 
 
 @dataclass(frozen=True)
