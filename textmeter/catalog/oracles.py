@@ -206,7 +206,8 @@ cte("draws", f"""SELECT c, draw, CAST('0x' || substr(md5(c || '|' || draw || '|{
     UNION ALL SELECT 1, n1, unnest(generate_series(1, k1)) FROM q_boot)""", "q_boot")
 ORACLES["bootstrap_resample"] = sql(
     f"""SELECT r.id, r.sentiment, d.draw FROM (SELECT *, {_rank(True)} AS rank FROM reviews) r
-    JOIN draws d ON d.c = r.sentiment AND d.rank = r.rank""", "reviews", "draws")
+    JOIN draws d ON d.c = r.sentiment AND d.rank = r.rank WHERE (SELECT n FROM sizes) > 200
+    UNION ALL SELECT id, sentiment, 1 FROM reviews WHERE (SELECT n FROM sizes) <= 200""", "reviews", "draws", "sizes")
 ORACLES["stratified_kfold"] = sql(
     f"SELECT id, sentiment, CAST(({_rank(True)} - 1) % 5 AS INTEGER) AS fold FROM reviews", "reviews")
 ORACLES["uniform_sample"] = sql(f"SELECT id, review FROM docs ORDER BY {_key()} LIMIT 100", "docs")
