@@ -50,7 +50,7 @@ def test_grouped_rules_equal_the_table_applied_row_by_row(table):
 SPLITS = {f"{a}{b}": f"{a} {b}" for a, b in R.TOKEN_SPLITS.values()}
 
 
-def reference_tokens(text, stop_words=R.STOP_WORDS):
+def stepwise_tokens(text, stop_words=R.STOP_WORDS):
     """The chain step by step, in Python."""
     text = re.sub(r"<[^>]+>", " ", text)
     text = re.sub(r"http\S+|www\.\S+", " ", text)
@@ -89,13 +89,13 @@ def test_fused_chain_equals_single_steps(table, spark):
     pieces = ["<br />", "<p\nx>", "http://a.b/c?d", "www.x.y", "isn't", "Can't", "cannot", "gonna", "WANNA", "the", "not",
               "é", "İ", " ", "\t", "\n", "!!", "a", "ok", "10/10", "it's", "<", ">", "xcannot", "Movie", " ", "_"]
     texts = ["".join(rng.choice(pieces) + rng.choice(["", " "]) for _ in range(15)) for _ in range(400)]
-    assert apply(table, texts, X.clean_tokens) == [reference_tokens(t) for t in texts]
+    assert apply(table, texts, X.clean_tokens) == [stepwise_tokens(t) for t in texts]
 
     def chained(c):
         x = X.lowercase(X.expand_contractions(X.strip_urls(X.strip_html(c))))
         return X.min_token_length(X.remove_stop_words(X.tokenize(X.normalize_whitespace(X.strip_special(x)))))
 
-    assert apply(table, texts, chained) == [reference_tokens(t) for t in texts]
+    assert apply(table, texts, chained) == [stepwise_tokens(t) for t in texts]
 
 
 def test_null_text_is_empty(table):
