@@ -1,3 +1,5 @@
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,16 +73,21 @@ def test_model_store(spark, table):
     assert scored.filter("y_true = y_pred").count() == 40
 
 
-def test_shared_folder_is_the_configured_one(spark, tmp_path):
-    shared_folder(spark)
-    before = spark.conf.get("spark.checkpoint.dir")
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        assert fresh_path(spark, "x").startswith(str(tmp_path))
-        df = materialize(spark.range(3), "r")
-        assert df.count() == 3 and str(tmp_path) in df.inputFiles()[0]
-    finally:
-        spark.conf.set("spark.checkpoint.dir", before)
+def session_with(**settings):
+    return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: settings.get(key, default)))
+
+
+def test_shared_folder_is_the_configured_one():
+    named = session_with(**{"spark.checkpoint.dir": "hdfs://x/y/", "spark.master": "yarn"})
+    assert shared_folder(named) == "hdfs://x/y"
+    assert fresh_path(named, "t").startswith("hdfs://x/y/t-")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(session_with(**{"spark.master": "yarn"}))
+
+
+def test_written_tables_are_read_back(spark):
+    df = materialize(spark.range(3), "r")
+    assert df.count() == 3 and shared_folder(spark) in df.inputFiles()[0]
 
 
 def test_spread_only_when_needed(spark):
