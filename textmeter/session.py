@@ -44,9 +44,30 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folder()
 
 
+_WRITTEN: dict[str, set[str]] = {}
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing has been written to yet."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing has been written to yet.
+
+    The session owns it: ``remove_written`` deletes whatever is left there.
+    """
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a written table that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    _WRITTEN.get(spark.sparkContext.applicationId, set()).discard(path)
+
+
+def remove_written(spark: SparkSession) -> None:
+    """Delete every intermediate table of this session; call it when its results have been read."""
+    for path in sorted(_WRITTEN.get(spark.sparkContext.applicationId, ())):
+        remove(spark, path)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
