@@ -84,15 +84,13 @@ def subtree_pairs(prints: DataFrame, distance: int, subtree: int = SUBTREE) -> t
     Starts at (root, root) and descends ``STEP`` levels a round: both nodes are
     replaced with their descendants, the bits in which these differ are added to
     the pair's errors, pairs over the budget go. A pair of at most ``subtree``
-    fingerprints stops, so dense regions are cut deeper than sparse ones.
+    fingerprints stops, so dense regions are cut deeper than sparse ones. The
+    first round is made at any size: a small table is spread like a large one.
     Returns (depth, a, b, errors) and the depths that occur.
     """
     spark = prints.sparkSession
     open_pairs = spark.sql("SELECT 0L AS a, 0L AS b, 0 AS errors")
-    done, depth = None, 0
-    if prints.count() <= subtree:
-        return open_pairs.select(F.lit(0).alias("depth"), "*"), [0]
-    depths = []
+    done, depth, depths = None, 0, []
     while depth < BITS:
         depth += STEP
         kids = _nodes(prints, depth)
