@@ -88,21 +88,22 @@ def subtree_pairs(prints: DataFrame, distance: int, subtree: int = SUBTREE) -> t
     first round is made at any size: a small table is spread like a large one.
     Returns (depth, a, b, errors) and the depths that occur.
     """
-    spark = prints.sparkSession
-    open_pairs = spark.sql("SELECT 0L AS a, 0L AS b, 0 AS errors")
+    open_pairs = prints.sparkSession.sql("SELECT 0L AS a, 0L AS b, 0 AS errors")
     done, depth, depths = None, 0, []
+    kids = 1 << STEP
     while depth < BITS:
         depth += STEP
-        kids = _nodes(prints, depth)
-        side = lambda s: kids.select(
-            F.col("node").alias(f"{s}2"), F.col("n").alias(f"n_{s}"), F.shiftrightunsigned("node", STEP).alias(s)
+        nodes = _nodes(prints, depth)
+        below = open_pairs.withColumn("kid", F.explode(F.sequence(F.lit(0), F.lit(kids * kids - 1)))).select(
+            (F.shiftleft("a", STEP) + F.shiftright("kid", STEP)).alias("a"),
+            (F.shiftleft("b", STEP) + F.col("kid") % kids).alias("b"),
+            (F.col("errors") + F.bit_count(F.shiftright("kid", STEP).bitwiseXOR(F.col("kid") % kids))).cast("int").alias("errors"),
+            (F.col("a") == F.col("b")).alias("same"),
         )
-        errors = F.col("errors") + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")).bitwiseAND(F.lit((1 << STEP) - 1)))
+        below = below.filter((F.col("errors") <= distance) & (~F.col("same") | F.expr("a <= b"))).drop("same")
         pairs = (
-            open_pairs.join(side("a"), "a").join(side("b"), "b")
-            .filter("a != b OR a2 <= b2")
-            .select(F.col("a2").alias("a"), F.col("b2").alias("b"), errors.cast("int").alias("errors"), "n_a", "n_b")
-            .filter(F.col("errors") <= distance)
+            below.join(nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a")
+            .join(nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b")), "b")
         )
         pairs, _ = store(pairs, "node-pairs")
         small = (F.col("n_a") + F.col("n_b") <= subtree) | F.lit(depth == BITS)
