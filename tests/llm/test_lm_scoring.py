@@ -1,0 +1,89 @@
+"""Cross-entropy difference against models kept in dictionaries."""
+
+import math
+from collections import Counter
+
+import pytest
+
+from textmeter.llm import lm_scoring
+
+
+def plain_model(texts):
+    """p(c | a, b) by Witten-Bell, straight from the definition."""
+    tri, bi, uni = Counter(), Counter(), Counter()
+    for t in texts:
+        data = b"\0\0" + (t or "").encode()
+        for a, b, c in zip(data, data[1:], data[2:]):
+            tri[a, b, c] += 1
+            bi[b, c] += 1
+            uni[c] += 1
+
+    def follow(counts, context):
+        kinds = [n for k, n in counts.items() if k[:-1] == context]
+        return sum(kinds), len(kinds)
+
+    total, kinds = sum(uni.values()), len(uni)
+    seen: dict = {}
+
+    def p1(c):
+        return (uni[c] + max(kinds, 1) / 256) / (total + max(kinds, 1))
+
+    def p2(b, c):
+        n, k = seen.setdefault((b,), follow(bi, (b,)))
+        return (bi[b, c] + k * p1(c)) / (n + k) if n else p1(c)
+
+    def p3(a, b, c):
+        n, k = seen.setdefault((a, b), follow(tri, (a, b)))
+        return (tri[a, b, c] + k * p2(b, c)) / (n + k) if n else p2(b, c)
+
+    return p3
+
+
+def loss(model, text):
+    data = b"\0\0" + text.encode()
+    return [-math.log(model(*x)) for x in zip(data, data[1:], data[2:])]
+
+
+ROWS = [(1, "the cat sat on the mat"), (2, "zzxy qqpw zzxy"), (3, "the mat sat on a cat"), (4, None), (5, ""), (6, "é the ünï"), (6, "second text of six"), (None, "the cat")]
+
+
+@pytest.mark.parametrize("block", [1 << 22, 5])
+def test_equals_the_dictionaries(spark, monkeypatch, block):
+    monkeypatch.setattr(lm_scoring, "BLOCK", block)
+    docs = spark.createDataFrame([(*r, 9.5) for r in ROWS], "doc_id long, text string, score double").repartition(3)
+    good = spark.createDataFrame([(1, 1), (3, 1), (3, 1), (6, 1), (None, 1)], "doc_id long, quality int")
+    target = plain_model([t for k, t in ROWS if k in (1, 3, 6)])
+    background = plain_model([t for _, t in ROWS])
+    want = {}
+    for k, t in ROWS:
+        a, b = (loss(m, t or "") for m in (target, background))
+        want[k, len(a)] = (sum(a) / len(a), sum(b) / len(b), sum(x - y for x, y in zip(a, b)) / len(a)) if a else (None, None, None)
+    got = lm_scoring.cross_entropy_difference(docs, good).collect()
+    assert len(got) == len(ROWS)
+    for r in got:
+        for x, y in zip((r.target_loss, r.background_loss, r.score), want[r.doc_id, r.n_tokens]):
+            assert (x is None) == (y is None) and (x is None or abs(x - y) < 1e-5)
+
+
+def test_chances_add_up(spark):
+    docs = spark.createDataFrame([(t,) for _, t in ROWS], "text string")
+    _, model = lm_scoring.fit(docs, docs)
+    import numpy as np
+    total = np.exp(-model.table().astype("f8")).reshape(-1, 256).sum(1)
+    assert np.allclose(total, 1, atol=1e-4)
+
+
+def test_target_like_texts_score_lower(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    german = docs.filter("lang = 'de'").select("doc_id")
+    got = lm_scoring.cross_entropy_difference(docs, german).join(docs, "doc_id").filter("n_tokens > 200").groupBy(docs.lang == "de").avg("score").collect()
+    by = {r[0]: r[1] for r in got}
+    assert by[True] < by[False] - 0.3
+
+
+def test_no_target_and_empty(spark):
+    docs = spark.createDataFrame([(1, "abc")], "doc_id long, text string")
+    none = docs.limit(0).select("doc_id")
+    r = lm_scoring.cross_entropy_difference(docs, none).first()
+    assert abs(r.target_loss - math.log(256)) < 1e-4
+    assert lm_scoring.cross_entropy_difference(docs.limit(0), none).count() == 0

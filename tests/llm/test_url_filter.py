@@ -1,0 +1,94 @@
+"""Hosts, paths and rules of urls; decisions passed on between equivalent addresses, against a plain search."""
+
+import random
+
+import pytest
+
+from textmeter.llm import url_filter
+from textmeter.llm.url_filter import Rule
+
+RULES = [Rule("com", "/", "allow"), Rule("example.com", "/en/", "block"), Rule("www.example.com", "/en/", "allow"), Rule("net", "/es/", "block")]
+SCHEMA = "page_id long, url string, html string, verdict string"
+
+
+def judged(spark, rows, redirects=None, rules=RULES):
+    df = spark.createDataFrame([(*r, "clash") for r in rows], SCHEMA)
+    return {r.page_id: r for r in url_filter.judge(df, rules, redirects).collect()}
+
+
+@pytest.mark.parametrize(("url", "host", "path"), [
+    ("http://A.Example.COM/En/x?y#z", "a.example.com", "/En/x"), ("https://h?q=/a", "h", ""), ("ftp://h#f://x/", "h", ""), ("h.com/a", "", ""),
+    (None, "", ""), ("", "", ""), ("a://b://c/d", "b:", "//c/d"), ("x://", "", ""), ("x://É.com/É", "É.com", "/É"), ("http://h:80/a\nb", "h:80", "/a\nb"),
+])
+def test_host_and_path(spark, url, host, path):
+    r = judged(spark, [(1, url, None)])[1]
+    assert (r.host, r.path) == (host, path)
+
+
+@pytest.mark.parametrize(("url", "rule", "verdict"), [
+    ("http://a.com/x", "com/", "allow"), ("http://a.com", None, "allow"), ("http://example.com/en/1", "example.com/en/", "block"),
+    ("http://m.example.com/en/1", "example.com/en/", "block"), ("http://a.www.example.com/en/", "www.example.com/en/", "allow"),
+    ("http://notexample.com/en/", "com/", "allow"), ("http://x.net/es/1", "net/es/", "block"), ("http://x.net/es", None, "allow"),
+    ("http://x.org/es/", None, "allow"), ("nothing", None, "allow"),
+])
+def test_longest_rule_wins(spark, url, rule, verdict):
+    r = judged(spark, [(1, url, "")])[1]
+    assert (r.rule, r.verdict) == (rule, verdict)
+
+
+def test_allow_wins_between_equals(spark):
+    both = [Rule("a.org", "/", "block"), Rule("a.org", "/", "allow")]
+    for rules in (both, both[::-1]):
+        assert judged(spark, [(1, "http://a.org/", None)], rules=rules)[1].verdict == "allow"
+
+
+def test_links_in_pages(spark):
+    blocked = "http://x.net/es/bad"
+    pages = [
+        (1, "http://o.org/1", f'<LINK href="{blocked}" REL=canonical>'),
+        (2, "http://o.org/2#top", "<meta content='0; URL=/1' http-equiv='refresh'>"),
+        (3, "http://o.org/dir/3", '<link rel="canonical" href="//x.net/es/bad">'),
+        (4, "http://o.org/dir/4", '<link rel="canonical" href="3">'),
+        (5, "http://o.org/5", '<link rel="stylesheet" href="http://x.net/es/bad"> canonical'),
+        (6, "http://a.com/6", f'<link rel="canonical" href="{blocked}">'),  # an explicit allow joins the group
+        (7, "http://o.org/7", '<link rel="canonical" href="#x">'),
+        (8, "http://p.org/8", '<link rel="canonical" href="http://y.net/es/?a&amp;b">'),
+        (9, "http://y.net/es/?a&b", None),
+        (10, None, '<link rel="canonical" href="http://y.net/es/">'),
+    ]
+    got = judged(spark, pages[:5] + pages[6:])
+    assert {i for i, r in got.items() if r.verdict == "block"} == {1, 2, 3, 4, 8, 9}
+    assert got[2].alias_of == got[4].alias_of and got[5].alias_of is None and got[10].alias_of is None
+    got = judged(spark, pages)
+    assert {i for i, r in got.items() if r.verdict == "block"} == {8, 9}
+
+
+def test_redirect_table_against_a_plain_search(spark):
+    rng = random.Random(2)
+    names = [f"http://h{i}.{rng.choice(['org', 'org', 'org', 'net', 'com'])}/{rng.choice(['es', 'x'])}/p" for i in range(90)]
+    edges = [(a, b) for a, b in zip(names[:40], names[1:41])] + [tuple(rng.sample(names[41:], 2)) for _ in range(25)] + [(names[0], names[0]), (None, names[3])]
+    reach = {n: {n} for n in names}
+    for _ in names:
+        for a, b in edges:
+            if a:
+                both = reach[a] | reach[b]
+                for n in both:
+                    reach[n] = both
+
+    def rule(n):
+        return "allow" if ".com/" in n else "block" if ".net/es/" in n else None
+
+    def verdict(n):
+        own = {rule(m) for m in reach[n]}
+        return rule(n) or ("block" if "block" in own and "allow" not in own else "allow")
+
+    redirects = spark.createDataFrame(edges, "source string, target string")
+    got = judged(spark, [(i, n, None) for i, n in enumerate(names)], redirects)
+    assert {i: r.verdict for i, r in got.items()} == {i: verdict(n) for i, n in enumerate(names)}
+    assert all(r.alias_of == (min(reach[names[i]]) if len(reach[names[i]]) > 1 else None) for i, r in got.items())
+
+
+def test_repeats_and_empty(spark):
+    df = spark.createDataFrame([(1, "http://x.net/es/", None, "v")] * 3, SCHEMA)
+    assert [r.verdict for r in url_filter.judge(df, RULES).collect()] == ["block"] * 3
+    assert url_filter.judge(df.limit(0), RULES).count() == 0

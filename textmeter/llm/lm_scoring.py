@@ -1,0 +1,154 @@
+"""Cross-entropy difference: how much better a model of good texts predicts a document than one of all texts."""
+
+from __future__ import annotations
+
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+
+from textmeter.llm.common import ranked_id, store
+
+#: The vocabulary both models share: the 256 bytes. A text begins after two zero bytes.
+VOCABULARY = 256
+ORDER = 3
+CELLS = VOCABULARY ** ORDER
+#: Bytes counted together.
+BLOCK = 1 << 22
+
+
+def trigrams(text: str) -> Iterator[np.ndarray]:
+    """Each byte with the two before it, as one number, in blocks."""
+    data = b"\0\0" + text.encode("utf-8", "surrogatepass")
+    for first in range(0, len(data) - 2, BLOCK):
+        part = np.frombuffer(data[first:first + BLOCK + 2], "u1").astype("u4")
+        yield part[:-2] << 16 | part[1:-1] << 8 | part[2:]
+
+
+def blocks(texts: Iterable[str]) -> Iterator[np.ndarray]:
+    """Trigrams of all texts in arrays of about BLOCK."""
+    held, size = [], 0
+    for text in texts:
+        for part in trigrams(text):
+            held.append(part)
+            size += len(part)
+            if size >= BLOCK:
+                yield np.concatenate(held)
+                held, size = [], 0
+    if held:
+        yield np.concatenate(held)
+
+
+def count_trigrams(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(trigram, n) over all texts. A task sends each trigram once, with its count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(CELLS, "i8")
+        texts = (t for batch in batches for t in batch.column(0).to_pylist())
+        for part in blocks(texts):
+            counts += np.bincount(part, minlength=CELLS)
+        seen = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype("i4")), pa.array(counts[seen])], ["trigram", "n"])
+
+    counted = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, "trigram int, n long")
+    return counted.groupBy("trigram").agg(F.sum("n").alias("n"))
+
+
+@dataclass
+class Model:
+    """Trigram model, Witten-Bell: each order is interpolated with the one below, the lowest with even chances."""
+
+    trigram: np.ndarray
+    loss: np.ndarray
+    backoff: np.ndarray
+    bigram_loss: np.ndarray
+
+    @classmethod
+    def fit(cls, trigram: np.ndarray, n: np.ndarray) -> "Model":
+        """From the counts of ascending trigrams; losses in nats."""
+        def below(weights, cells, keys):
+            return np.bincount(keys, weights, cells)
+
+        n = n.astype("f8")
+        last, pair, context = trigram & 255, trigram & 0xFFFF, trigram >> 8
+        single = below(n, VOCABULARY, last)
+        kinds = np.count_nonzero(single)
+        p1 = (single + max(kinds, 1) / VOCABULARY) / (single.sum() + max(kinds, 1))
+        bigram = below(n, VOCABULARY ** 2, pair).reshape(VOCABULARY, VOCABULARY)
+        total, kinds = bigram.sum(1, keepdims=True), np.count_nonzero(bigram, 1).reshape(-1, 1)
+        p2 = np.where(total > 0, (bigram + kinds * p1) / np.maximum(total + kinds, 1), p1).ravel()
+        total, kinds = below(n, VOCABULARY ** 2, context), np.bincount(context, minlength=VOCABULARY ** 2)
+        share = np.where(total > 0, kinds / np.maximum(total + kinds, 1), 1.0)
+        seen = n / (total + kinds)[context] + share[context] * p2[pair]
+        return cls(trigram.astype("u4"), -np.log(seen).astype("f4"), -np.log(share).astype("f4"), -np.log(p2).astype("f4"))
+
+    def table(self) -> np.ndarray:
+        """Loss of every trigram: 64 MB."""
+        out = (self.backoff[:, None] + self.bigram_loss.reshape(VOCABULARY, VOCABULARY)[np.arange(VOCABULARY ** 2) & 255]).ravel()
+        out[self.trigram] = self.loss
+        return out
+
+
+def fit(target: DataFrame, background: DataFrame, text: str = "text") -> tuple[Model, Model]:
+    """Matched models: same order, smoothing and vocabulary, from all texts of either table.
+
+    Proven bound: 2^24 different trigrams, so counts of either table fit the
+    driver whatever they were counted from.
+    """
+    joined = count_trigrams(background, text).withColumnRenamed("n", "all").join(
+        count_trigrams(target, text).withColumnRenamed("n", "good"), "trigram", "full"
+    )
+    counts = joined.na.fill(0).toPandas().sort_values("trigram")
+
+    def model(column: str) -> Model:
+        seen = counts[counts[column] > 0]
+        return Model.fit(seen["trigram"].to_numpy("i8"), seen[column].to_numpy())
+
+    return model("good"), model("all")
+
+
+def score(docs: DataFrame, target: Model, background: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_tokens, target_loss, background_loss, score) of each document.
+
+    Losses are means per token, in nats; ``score`` is the mean of the per-token
+    differences, target minus background: the lower, the more the text is like
+    the target. A null or empty text has no tokens and null losses. Repeated rows
+    and null keys come back as they are; other columns are ignored; an empty
+    table gives an empty table. Nothing is shuffled.
+    """
+    shipped = docs.sparkSession.sparkContext.broadcast((target, background))
+    schema = StructType([docs.schema[key], *(StructField(c, t) for c, t in (
+        ("n_tokens", LongType()), ("target_loss", DoubleType()), ("background_loss", DoubleType()), ("score", DoubleType())))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        good, all_ = (m.table() for m in shipped.value)
+        for batch in batches:
+            rows = []
+            for text in batch.column(1).to_pylist():
+                n, sums = 0, np.zeros(3)
+                for part in trigrams(text):
+                    a, b = good[part].astype("f8"), all_[part].astype("f8")
+                    sums += a.sum(), b.sum(), (a - b).sum()
+                    n += len(part)
+                rows.append((n, *(sums / n).tolist()) if n else (0, None, None, None))
+            columns = list(zip(*rows)) if rows else [()] * 4
+            types = [pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types))], schema.names)
+
+    return docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, schema)
+
+
+def cross_entropy_difference(docs: DataFrame, good: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Score ``docs`` by models of its texts whose key is in ``good`` and of all its texts.
+
+    If no text is in ``good``, the target model knows nothing and gives every
+    byte the same chance.
+    """
+    # Key and text move once, for the target; semi-joined, so repeated keys in ``good`` count once.
+    keys = good.select(F.col(key).alias("__key")).filter("__key IS NOT NULL").distinct()
+    target = docs.select(F.col(key).alias("__key"), "text").join(keys, "__key", "left_semi")
+    return score(docs, *fit(target, docs), key)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textmeter.llm import sharding, simhash
+from textmeter.llm import ann, bpe, decontaminate, language, line_dedup, lm_scoring, sharding, simhash, token_store, url_filter
 from textmeter.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +19,11 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op1_pruned_graph(spark, sf):
+    return ann.nearest(table(spark, sf, "embeddings"), k=10, every=100)
+
+
 @query
 def op2_simhash_trie(spark, sf):
     return simhash.near_duplicates(table(spark, sf, "documents"), width=3, distance=2)
@@ -26,3 +32,57 @@ def op2_simhash_trie(spark, sf):
 @query
 def op3_stratified_shards(spark, sf):
     return sharding.shard_rows(table(spark, sf, "documents"), shards=40)
+
+
+@query
+def op4_line_dedup(spark, sf):
+    """``removed``: offsets of what was cut, as 'start-end' joined by commas."""
+    cut = line_dedup.drop_repeated_units(table(spark, sf, "documents"))
+    spans = F.transform("removed", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string")))
+    return cut.select("doc_id", "text", F.array_join(spans, ",").alias("removed"))
+
+
+@query
+def op5_cross_entropy(spark, sf):
+    good = table(spark, sf, "labels").filter("quality = 1")
+    return lm_scoring.cross_entropy_difference(table(spark, sf, "documents"), good)
+
+
+@query
+def op6_simhash_windows(spark, sf):
+    return decontaminate.find_items(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query
+def op7_token_store(spark, sf):
+    tokenizer = bpe.tokenizer_json(public_tokenizers.path("byte_bpe_50k.json"))
+    manifest, folder = token_store.write_ids(table(spark, sf, "documents"), tokenizer, end_id=2)
+    return token_store.checksums(manifest, folder)
+
+
+@query
+def op8_byte_bpe(spark, sf):
+    tokenizer = bpe.tokenizer_json(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.digests(table(spark, sf, "documents"), tokenizer)
+
+
+#: Hosts and paths of the url contract.
+URL_RULES = [
+    url_filter.Rule("com", "/", "allow"),
+    url_filter.Rule("example.com", "/en/", "block"),
+    url_filter.Rule("www.example.com", "/en/", "allow"),
+    url_filter.Rule("net", "/es/", "block"),
+    url_filter.Rule("net", "/fr/", "block"),
+]
+
+
+@query
+def op9_url_equivalence(spark, sf):
+    return url_filter.judge(table(spark, sf, "pages"), URL_RULES)
+
+
+@query
+def op10_language_families(spark, sf):
+    docs = table(spark, sf, "documents")
+    found = language.identify(docs, language.learn(docs))
+    return found.select("doc_id", language.held_out("doc_id").alias("held_out"), "lang_pred", "score")
