@@ -75,9 +75,11 @@ def repeated_units(rows: DataFrame, unit: str = "line", min_words: int = MIN_WOR
     """
     found, _ = store(unit_table(rows, unit, min_words), "units")
     rank = F.struct("key", "text_hash", "start")
-    first = (
+    # Written, so that the join below is a plain one: a frequent line's rows can be split.
+    first, _ = store(
         found.groupBy("high", "low").agg(F.min(rank).alias("first"), F.max(rank).alias("last"))
-        .filter("first != last").select("high", "low", "first")
+        .filter("first != last").select("high", "low", "first"),
+        "repeated-units",
     )
     later = found.join(first, ["high", "low"]).filter(rank != F.col("first"))
     # A text has few units: the list is bounded by the text itself.
