@@ -8,7 +8,7 @@ from textmeter.llm.common import store
 from textmeter.session import fresh_path
 
 #: Rows that one window partition sorts, on average.
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 2_000
 #: Bits of the shuffle key: 15 hex digits of an md5.
 KEY_BITS = 60
 
@@ -36,8 +36,9 @@ def interleave(docs: DataFrame, shards: int, key: str = "doc_id", stratum: str =
     ``docs`` must be cheap to read again (a written, narrow table). A null
     stratum is one of its own, a null key is ordered like the text 'null'; rows
     equal in key are ordered by their other columns' hash, and rows equal
-    throughout are interchangeable. An empty table gives an empty table. Columns
-    of any name pass through; names beginning with ``__`` are reserved here.
+    throughout are interchangeable. An empty table gives an empty table. Other
+    columns pass through; columns named ``shard`` or ``slot`` are replaced, and
+    names beginning with ``__`` are reserved here.
     """
     total = docs.count()
     bits = max(0, (total // BUCKET_ROWS).bit_length())
@@ -76,12 +77,10 @@ def interleave(docs: DataFrame, shards: int, key: str = "doc_id", stratum: str =
         .join(begins, "__stretch")
         .select("__row.*", position.alias("__position"))
     )
-    shard = F.floor(F.col("__position") * shards / F.lit(max(total, 1)))
-    # Exact in doubles below 2^53: position * shards is, and the quotient is kept from rounding up past a cut.
-    exact = F.expr(f"(__position * {shards}L) div {max(total, 1)}L") if total else shard
+    shard = F.expr(f"(__position * {shards}L) div {max(total, 1)}L")
     first = F.expr(f"(shard * {total}L + {shards - 1}L) div {shards}L")
     return (
-        placed.withColumn("shard", exact.cast("int"))
+        placed.withColumn("shard", shard.cast("int"))
         .withColumn("slot", (F.col("__position") - first).cast("long"))
         .drop("__position")
     )
