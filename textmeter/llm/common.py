@@ -32,6 +32,11 @@ def _state(pairs: DataFrame) -> tuple:
     return tuple(row)
 
 
+def _lowest(pairs: DataFrame) -> DataFrame:
+    """The smallest node each node hangs below. Written before it is joined: only a plain join splits a hub's rows."""
+    return pairs.groupBy(F.col("u").alias("at")).agg(F.min("v").alias("low"))
+
+
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) of each node with an edge to another one; component = smallest node reachable.
 
@@ -52,17 +57,19 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     pairs, path = store(pairs.filter("u != v").distinct(), "edges")
     before = _state(pairs)
     while before[0]:
-        lowest = pairs.groupBy(F.col("u").alias("at")).agg(F.min("v").alias("low"))
+        lowest, low_path = store(_lowest(pairs), "lowest")
         moved = pairs.join(lowest, F.col("v") == F.col("at"), "left").select("u", F.coalesce("low", "v").alias("v")).distinct()
         moved, moved_path = store(moved, "large-star")
-        lowest = moved.groupBy(F.col("u").alias("at")).agg(F.min("v").alias("low"))
+        remove(spark, path)
+        remove(spark, low_path)
+        lowest, low_path = store(_lowest(moved), "lowest")
         under = moved.join(lowest, F.col("u") == F.col("at"))
         stars = under.select("u", F.col("low").alias("v")).union(
             under.filter("v != low").select(F.col("v").alias("u"), F.col("low").alias("v"))
         )
-        remove(spark, path)
         pairs, path = store(stars.distinct(), "small-star")
         remove(spark, moved_path)
+        remove(spark, low_path)
         after = _state(pairs)
         if after == before:
             break

@@ -264,8 +264,10 @@ def _classes(docs: DataFrame, width: int, distance: int, key: str, text: str) ->
         "classes",
     )
     remove(spark, path)
-    smallest = classed.groupBy("class").agg(F.min("first").alias("first"))
-    return printed, classed.select("fp", "class").join(smallest, "class").select("fp", "first")
+    # Written tables again: large classes and frequent fingerprints can be split where they are joined.
+    smallest, _ = store(classed.groupBy("class").agg(F.min("first").alias("first")), "smallest")
+    labels, _ = store(classed.select("fp", "class").join(smallest, "class").select("fp", "first"), "labels")
+    return printed, labels
 
 
 def _known(ranked: Column) -> Column:
