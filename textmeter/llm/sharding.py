@@ -9,6 +9,8 @@ from textmeter.session import fresh_path
 
 #: Rows that one window partition sorts, on average.
 BUCKET_ROWS = 2_000
+#: At most 2^18 buckets a stratum: what is summed up in order stays small, buckets of huge tables are larger.
+BUCKET_BITS = 18
 #: Bits of the shuffle key: 15 hex digits of an md5.
 KEY_BITS = 60
 
@@ -41,7 +43,7 @@ def interleave(docs: DataFrame, shards: int, key: str = "doc_id", stratum: str =
     names beginning with ``__`` are reserved here.
     """
     total = docs.count()
-    bits = max(0, (total // BUCKET_ROWS).bit_length())
+    bits = min(BUCKET_BITS, (total // BUCKET_ROWS).bit_length())
     rest = [c for c in docs.columns if c != key]
     rows = docs.select(
         F.struct("*").alias("__row"),
@@ -68,7 +70,7 @@ def interleave(docs: DataFrame, shards: int, key: str = "doc_id", stratum: str =
     )
 
     stretches = ranked.groupBy("__stretch").agg(F.count("*").alias("__n"))
-    # One row per stretch of BUCKET_ROWS rows, summed up in order.
+    # Proven bound: 2^BUCKET_BITS rows, summed up in order.
     begins = stretches.select("__stretch", (F.sum("__n").over(W.orderBy("__stretch")) - F.col("__n")).alias("__before"))
     inside = W.partitionBy("__stretch").orderBy("__fraction", "__stratum", "__order", "__key", "__tie")
     position = F.col("__before") + F.col("__in") - 1
