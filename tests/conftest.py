@@ -5,16 +5,17 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from textmeter.session import local_session  # noqa: E402
+from textmeter.session import local_session, remove_written  # noqa: E402
 
 DATA = "/root/testdata"
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(8, 4, "textmeter-tests")
+def spark(tmp_path_factory):
+    session = local_session(8, 4, "textmeter-tests", str(tmp_path_factory.mktemp("shared")))
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    remove_written(session)
     session.stop()
 
 

@@ -51,7 +51,11 @@ def test_study_runs_every_experiment(whole):
     tfidf = [r for r in rows if r.Features in ("TF-IDF", "Hybrid", "BoW") and r.Model != "Random Forest"]
     assert all(r.Accuracy > 0.9 for r in tfidf)
     assert whole.best.first()["F1-Score"] == max(r["F1-Score"] for r in rows)
-    assert whole.mcc.count() == 3 and whole.results.columns == list(R.RESULT_COLUMNS)
+    assert whole.comparisons["mcc"].count() == 3 and whole.results.columns == list(R.RESULT_COLUMNS)
+    assert set(whole.comparisons) == {"mcc", "series", "grid", "stability"} and whole.comparisons["stability"].count() == 3
+    assert whole.flags.filter("suspicious").count() == whole.results.filter("Accuracy >= 0.999").count()
+    assert whole.confusion.filter("TP + TN + FP + FN = 32").count() == 12
+    assert {k: v.count() > 0 for k, v in whole.exploration.items()} == dict.fromkeys(whole.exploration, True) and len(whole.exploration) == 5
     assert whole.prepared.count() == 160
 
 

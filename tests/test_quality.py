@@ -41,7 +41,16 @@ def test_vocabulary_verdict_and_top(table):
     df = table([("bb aa bb a cc aa",)], "cleaned_review string")
     assert tuple(Q.vocab_sanity(df).first()) == (3, "critical")
     assert [tuple(r) for r in Q.top_tokens(df, 2).collect()] == [("aa", 2), ("bb", 2)]
-    assert Q.vocab_sanity(df, cap=2).first().vocabulary == 2
+
+
+def test_vocabulary_has_no_cap(spark):
+    df = spark.range(60_000).selectExpr("concat('w', id) AS cleaned_review")
+    assert Q.vocab_sanity(df).first().vocabulary == 60_000
+
+
+def test_leakage_words_are_literal(table):
+    out = Q.label_leakage(table([("a.c", 1), ("abc", 0)], "cleaned_review string, sentiment int"), ["a.c"]).collect()
+    assert [(r.word, r.n_rows) for r in out] == [("a.c", 1)]
 
 
 def test_balance(table):

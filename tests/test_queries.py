@@ -1,5 +1,6 @@
 """Every registered query against its SQL counterpart, on the smallest tables."""
 
+import importlib.util
 import math
 
 import duckdb
@@ -11,9 +12,10 @@ from conftest import DATA
 
 SF = f"{DATA}/sf0.001"
 QUERIES, ORACLES = entry_points.queries(), entry_points.oracle_sql()
+# The optional subpackage has its own tests.
+CORPUS = {n for n in QUERIES if n.startswith("op") and n[2].isdigit()} | {"pipeline"}
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations")
-SLOW = {"experiment_grid", "learning_curve", "all_feature_sets", "model_store", "linear_svm", "random_forest", "train_and_predict"}
 
 
 @pytest.fixture(scope="module")
@@ -41,14 +43,20 @@ def test_query_equals_sql(spark, duck, name):
     assert got == sorted(tuple(normal(r[i]) for i in at) for r in rel.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(n for n in set(QUERIES) - set(ORACLES) if n not in CORPUS))
 def test_query_without_sql_has_rows(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
+def test_the_library_stands_without_the_optional_subpackage(monkeypatch):
+    find = importlib.util.find_spec
+    monkeypatch.setattr(importlib.util, "find_spec", lambda n, *a: None if n in ("textmeter.llm", "corpus_pipeline") else find(n, *a))
+    assert set(entry_points.queries()) == set(QUERIES) - CORPUS
+
+
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
 
 
 def test_entry(spark):
-    assert entry_points.entry(spark).count() == 1
+    assert entry_points.entry(spark).count() == 12

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textmeter.operators import cleaning as C, models as M
-from textmeter.session import fresh_path, materialize, shared_folder, spread
+from textmeter.session import fresh_path, materialize, remove, shared_folder, spread
 from textmeter.sources import models as model_files, tables as T
 
 TEXTS = ['a "q", \n b\\', "", None, "  lead trail  \r\n x", '"', "plain", "\\N", "tab\t, comma", "\n", "ü é"]
@@ -34,15 +34,41 @@ def test_load_shuffles_once(spark, table, tmp_path):
     first = T.load_reviews(spark, path, *parts).orderBy("id").collect()
     assert [r.id for r in first] == list(range(1, 10)) and {r.review for r in first} == {f"t{i}" for i in range(9)}
     assert all(r.sentiment == int(r.review[1:]) % 2 for r in first)
-    assert T.load_reviews(spark, path).orderBy("id").collect() == first
+    loose = {"min_rows": 9, "min_avg_words": 1, "min_vocabulary": 1}
+    assert T.load_reviews(spark, path, **loose).orderBy("id").collect() == first
+    with pytest.raises(ValueError, match="rows"):
+        T.load_reviews(spark, path)
+    with pytest.raises(ValueError, match="no table"):
+        T.load_reviews(spark, str(tmp_path / "none"))
+
+
+def test_columns_are_found_by_name(spark, tmp_path):
+    swapped = tmp_path / "swapped.csv"
+    swapped.write_text("sentiment,review,id\n1,x,7\n")
+    assert [tuple(r) for r in T.read_csv(spark, str(swapped)).collect()] == [(7, "x", 1)]
+    two = tmp_path / "two.csv"
+    two.write_text("review,sentiment\nx,1\ny,0\n")
+    got = T.read_csv(spark, str(two)).collect()
+    assert [(r.review, r.sentiment) for r in got] == [("x", 1), ("y", 0)] and len({r.id for r in got}) == 2
+    other = tmp_path / "other.csv"
+    other.write_text("id,sentiment_x,review\n1,1,x\n")
+    with pytest.raises(ValueError, match="sentiment"):
+        T.read_csv(spark, str(other))
+
+
+def test_an_unreadable_file_counts_as_absent(spark, tmp_path):
+    (tmp_path / "broken.csv.gz").write_bytes(b"this is no archive")
+    assert T.read_csv(spark, str(tmp_path / "broken.csv.gz")) is None
+    (tmp_path / "empty.csv").write_text("")
+    assert T.read_csv(spark, str(tmp_path / "empty.csv")) is None
 
 
 def test_cache_is_reused_and_refreshed(spark, table):
     calls = []
 
-    def clean(df):
+    def clean(df, **settings):
         calls.append(1)
-        return C.clean_text(df)
+        return C.clean_text(df, **settings)
 
     path = fresh_path(spark, "cache")
     df = table([(1, "One text"), (2, "two texts")], "id long, review string")
@@ -52,6 +78,18 @@ def test_cache_is_reused_and_refreshed(spark, table):
     assert T.cleaned_cache(changed, path, clean).filter("id = 2").first().cleaned_review == "words" and len(calls) == 2
 
 
+def test_cache_tells_labels_and_settings_apart(spark, table):
+    path, schema = fresh_path(spark, "cache"), "id long, review string, sentiment int"
+    df = table([(1, "One of the texts", 0), (2, "two texts", 1)], schema)
+    T.cleaned_cache(df, path, C.clean_text)
+    swapped = table([(1, "One of the texts", 1), (2, "two texts", 0)], schema)
+    assert {r.id: r.sentiment for r in T.cleaned_cache(swapped, path, C.clean_text).collect()} == {1: 1, 2: 0}
+    longer = T.cleaned_cache(df, path, C.clean_text, min_length=4, stop_words=())
+    assert {r.cleaned_review for r in longer.collect()} == {"texts"}
+    lemmas = table([("texts", "text")], "form string, lemma string")
+    assert {r.cleaned_review for r in T.cleaned_cache(df, path, C.clean_text, lemmas=lemmas).collect()} == {"one text", "two text"}
+
+
 def test_upsert_replaces_the_models_rows(table):
     schema = "Model string, Features string, Accuracy double"
     old = table([("a", "x", 0.1), ("b", "x", 0.2), ("b", "y", 0.3)], schema)
@@ -90,7 +128,30 @@ def test_written_tables_are_read_back(spark):
     assert df.count() == 3 and shared_folder(spark) in df.inputFiles()[0]
 
 
+def test_written_tables_are_removed(spark, tmp_path):
+    df, path = spark.range(3), fresh_path(spark, "gone")
+    df.write.parquet(path)
+    remove(spark, path)
+    assert T.read_csv(spark, path) is None
+
+
 def test_spread_only_when_needed(spark):
-    many = spark.range(100, numPartitions=16)
+    few, many = materialize(spark.range(100, numPartitions=1), "few"), materialize(spark.range(100, numPartitions=16), "many")
     assert spread(many, "id") is many
-    assert spread(spark.range(100, numPartitions=1), "id").agg(F.sum("id")).first()[0] == 4950
+    assert spread(few, "id").agg(F.sum("id")).first()[0] == 4950
+
+
+def test_building_a_role_runs_no_job(spark):
+    from textmeter.catalog import queries as C
+    tracker, group = spark.sparkContext.statusTracker(), "roles"
+    spark.sparkContext.setJobGroup(group, group)
+    tables = [spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels", "pages")]
+    assert tables
+    footers = len(tracker.getJobIdsForGroup(group))
+    for role in (C.reviews, C.documents, C.pages):
+        role(spark, "/root/testdata/sf0.001")
+    # One footer job per table read; nothing else.
+    assert len(tracker.getJobIdsForGroup(group)) - footers <= 4
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    plan = C.reviews(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 2

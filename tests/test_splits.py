@@ -90,7 +90,40 @@ def test_bootstrap(labelled):
     assert {r.sentiment: r["count"] for r in drawn.groupBy("sentiment").count().collect()} == {0: 100, 1: 200}
     assert drawn.select("id").distinct().count() < 300
     assert S.bootstrap_resample(labelled, 300, replace=False).select("id").distinct().count() == 300
-    assert S.bootstrap_resample(labelled, 5000).count() == 1000
+    # The size of the table decides nothing: asked for more rows than there are, it draws them.
+    larger = S.bootstrap_resample(labelled, 5000)
+    assert larger.count() == 5000 and larger.select("id").distinct().count() <= 1000
+    assert S.bootstrap_resample(labelled, 5000, replace=False).count() == 1000
+
+
+@pytest.fixture(scope="module")
+def partly(spark):
+    """60 labelled rows, 30 without a usable label, 10 without an id."""
+    rows = [(i, i % 2) for i in range(60)] + [(100 + i, (None, 2, -1)[i % 3]) for i in range(30)] + [(None, i % 2) for i in range(10)]
+    return spark.createDataFrame(rows, "id long, sentiment int").repartition(4).cache()
+
+
+def sides(df, column="split"):
+    return {r[0]: r[1] for r in df.groupBy(column).count().collect()}
+
+
+def test_rows_without_label_or_id_are_on_no_side(partly):
+    assert sides(S.stratified_split(partly)) == {"train": 48, "test": 12, None: 40}
+    assert sides(S.stratified_validation_split(partly, floor=10)) == {"train": 50, "val": 10, None: 40}
+    # No label is needed here, an id is.
+    assert sides(S.tail_validation_split(partly, floor=10)) == {"train": 80, "val": 10, None: 10}
+    assert sides(S.stratified_kfold(partly), "fold") == {0: 12, 1: 12, 2: 12, 3: 12, 4: 12, None: 40}
+    shuffled = [r.position for r in S.seeded_shuffle(partly).collect()]
+    assert sorted(p for p in shuffled if p) == list(range(1, 91)) and shuffled.count(None) == 10
+
+
+def test_samples_leave_them_out(partly):
+    for n, size in ((20, 20), (1000, 60), (None, 60)):
+        assert S.balanced_sample(partly, n).filter("sentiment IN (0, 1) AND id < 60").count() == size == S.balanced_sample(partly, n).count()
+        assert S.proportional_sample(partly, n).filter("sentiment IN (0, 1) AND id < 60").count() == size == S.proportional_sample(partly, n).count()
+    assert S.uniform_sample(partly, 1000).count() == 90
+    assert S.bootstrap_resample(partly, 200).filter("id < 60").count() == 200
+    assert S.bootstrap_resample(partly, 200, replace=False).count() == 60
 
 
 def test_runs_agree(labelled):

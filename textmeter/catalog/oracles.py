@@ -200,14 +200,13 @@ ORACLES["tail_validation_split"] = sql(
 quota_cte("q_val", f"n - {_val}")
 cte("s_val", split_sql("q_val", "train", "val"), "reviews", "q_val")
 ORACLES["stratified_validation_split"] = sql("SELECT id, sentiment, split FROM s_val", "s_val")
-quota_cte("q_boot", "least(200, n)")
+quota_cte("q_boot", "200")
 cte("draws", f"""SELECT c, draw, CAST('0x' || substr(md5(c || '|' || draw || '|{R.SEED}'), 1, 15) AS BIGINT) % size + 1 AS rank
     FROM (SELECT 0 AS c, n0 AS size, unnest(generate_series(1, k0)) AS draw FROM q_boot
     UNION ALL SELECT 1, n1, unnest(generate_series(1, k1)) FROM q_boot)""", "q_boot")
 ORACLES["bootstrap_resample"] = sql(
     f"""SELECT r.id, r.sentiment, d.draw FROM (SELECT *, {_rank(True)} AS rank FROM reviews) r
-    JOIN draws d ON d.c = r.sentiment AND d.rank = r.rank WHERE (SELECT n FROM sizes) > 200
-    UNION ALL SELECT id, sentiment, 1 FROM reviews WHERE (SELECT n FROM sizes) <= 200""", "reviews", "draws", "sizes")
+    JOIN draws d ON d.c = r.sentiment AND d.rank = r.rank""", "reviews", "draws")
 ORACLES["stratified_kfold"] = sql(
     f"SELECT id, sentiment, CAST(({_rank(True)} - 1) % 5 AS INTEGER) AS fold FROM reviews", "reviews")
 ORACLES["uniform_sample"] = sql(f"SELECT id, review FROM docs ORDER BY {_key()} LIMIT 100", "docs")
@@ -215,14 +214,13 @@ ORACLES["uniform_sample"] = sql(f"SELECT id, review FROM docs ORDER BY {_key()}
 
 # --- quality gates -----------------------------------------------------------
 
-cte("gate_sample", f"SELECT review FROM docs WHERE review IS NOT NULL ORDER BY {_key()} LIMIT 500", "docs")
 ORACLES["realism_gate"] = sql(
     f"""SELECT n_rows, round(a, 4) AS avg_words, vocabulary, reason = 'ok' AS passed, reason FROM (
     SELECT *, CASE WHEN n_rows < 100 THEN 'rows' WHEN a < 50 THEN 'avg_words'
     WHEN vocabulary < 5000 THEN 'vocabulary' ELSE 'ok' END AS reason FROM (
     SELECT count(*) AS n_rows, avg({s_count('review')}) FILTER (review IS NOT NULL) AS a,
-    (SELECT count(DISTINCT w) FROM (SELECT unnest({s_split('lower(review)')}) AS w FROM gate_sample)) AS vocabulary
-    FROM docs))""", "docs", "gate_sample")
+    (SELECT count(DISTINCT w) FROM (SELECT unnest({s_split('lower(review)')}) AS w FROM docs WHERE review IS NOT NULL)) AS vocabulary
+    FROM docs))""", "docs")
 ORACLES["dedup_exact"] = sql(
     "SELECT * FROM docs QUALIFY row_number() OVER (PARTITION BY review ORDER BY id) = 1", "docs")
 ORACLES["dup_counts"] = sql(
@@ -244,7 +242,7 @@ _verdict = "CASE WHEN n < 500 THEN 'critical' WHEN n < 5000 THEN 'warning' ELSE
 ORACLES["label_leakage"] = sql(leakage_sql("cleaned"), "cleaned")
 ORACLES["vocab_sanity"] = sql(
     f"""SELECT n AS vocabulary, {_verdict} AS verdict FROM (
-    SELECT least(count(DISTINCT token), 50000) AS n FROM cleaned_words)""", "cleaned_words")
+    SELECT count(DISTINCT token) AS n FROM cleaned_words)""", "cleaned_words")
 ORACLES["top_tokens_corpus"] = sql(
     "SELECT token, count(*) AS n FROM cleaned_words GROUP BY token ORDER BY n DESC, token LIMIT 15", "cleaned_words")
 ORACLES["length_audit"] = sql(
@@ -602,7 +600,7 @@ ORACLES["integrity_audit"] = sql(
     UNION ALL SELECT 'label_leakage', word, n_rows, 'leaked' FROM kept_leaks
     UNION ALL SELECT 'label_leakage', word || '/pos', pos, 'leaked' FROM kept_leaks
     UNION ALL SELECT 'label_leakage', word || '/neg', neg, 'leaked' FROM kept_leaks
-    UNION ALL SELECT 'vocabulary', 'size', n, {_verdict} FROM (SELECT least(count(DISTINCT token), 50000) AS n FROM kept_words)
+    UNION ALL SELECT 'vocabulary', 'size', n, {_verdict} FROM (SELECT count(DISTINCT token) AS n FROM kept_words)
     UNION ALL (SELECT 'top_tokens', token, count(*) AS n, 'ok' FROM kept_words GROUP BY token ORDER BY n DESC, token LIMIT 15)
     UNION ALL SELECT 'length', 'avg', round(avg(n), 4), CASE WHEN avg(n) < 30 THEN 'short' ELSE 'ok' END FROM kept_lengths
     UNION ALL SELECT 'length', 'min', min(n), 'ok' FROM kept_lengths
@@ -626,3 +624,45 @@ ORACLES["transformer_data_prep"] = sql(
     THEN 'train' ELSE 'val' END AS split FROM tdp_train UNION ALL SELECT id, sentiment, 'test' FROM tdp_test""",
     "tdp_train", "tdp_test")
 ORACLES["cleaned_cache"] = sql("SELECT id, sentiment, cleaned_review FROM cleaned", "cleaned")
+
+
+# --- fits and plans ----------------------------------------------------------
+
+ORACLES["word2vec_fit"] = sql(
+    f"""SELECT word, {R.WORD2VEC_DIM} AS dim FROM (SELECT unnest({s_chain('review')}) AS word FROM split WHERE split = 'train')
+    GROUP BY word HAVING count(*) >= 2""", "split")
+_vocabulary = "(SELECT count(*) FROM vocab)"
+ORACLES["all_feature_sets"] = sql(
+    f"""SELECT id, split, {_vocabulary} AS bow, {_vocabulary} AS tfidf, CAST({R.WORD2VEC_DIM} AS BIGINT) AS word2vec,
+    {_vocabulary} + {len(R.LEXICON_COLUMNS)} AS hybrid FROM split""", "vocab", "split")
+ORACLES["model_store"] = sql("SELECT id, true AS same FROM split WHERE split = 'test'", "split")
+for _name in ("logistic_regression", "linear_svm", "random_forest"):
+    ORACLES[_name] = sql("SELECT id, CAST(sentiment AS INTEGER) AS y_true, true AS sound FROM split WHERE split = 'test'", "split")
+
+
+def sides(source: str) -> str:
+    return f"""SELECT count(*) FILTER (sentiment = 1) AS positives, count(*) FILTER (sentiment = 0) AS negatives, true AS follows
+        FROM {source} WHERE split = 'test'"""
+
+
+MODELS = ("Logistic Regression", "SVM (Linear)", "Random Forest")
+cte("cells", values([(f * len(MODELS) + m, model, feature) for f, feature in enumerate(R.FEATURE_SETS) for m, model in enumerate(MODELS)],
+                    "run, Model, Features"))
+# The study splits the reviews without copies.
+cte("u_reviews", "SELECT * FROM reviews QUALIFY row_number() OVER (PARTITION BY review ORDER BY id) = 1", "reviews")
+cte("u_sizes", """SELECT n, n0, n1, CAST(n - ceil(CAST(0.2 AS DOUBLE) * n) AS BIGINT) AS m FROM (
+    SELECT count(*) AS n, count(*) FILTER (sentiment = 0) AS n0, count(*) FILTER (sentiment = 1) AS n1 FROM u_reviews)""", "u_reviews")
+cte("u_quota", """SELECT *, m - k1 AS k0 FROM (SELECT *, (n1 * m) // n + CASE WHEN
+    m - (n0 * m) // n - (n1 * m) // n = 1 AND (n1 * m) % n > (n0 * m) % n THEN 1 ELSE 0 END AS k1 FROM u_sizes)""", "u_sizes")
+cte("u_split", f"""SELECT r.*, CASE WHEN rank <= (CASE WHEN sentiment = 0 THEN k0 ELSE k1 END) THEN 'train' ELSE 'test' END AS split
+    FROM (SELECT *, {_rank(True)} AS rank FROM u_reviews) r, u_quota""", "u_reviews", "u_quota")
+ORACLES["train_and_predict"] = sql(sides("split"), "split")
+ORACLES["experiment_grid"] = sql(f"SELECT * FROM cells, ({sides('split')})", "cells", "split")
+ORACLES["sentiment_study"] = sql(f"SELECT * FROM cells, ({sides('u_split')})", "cells", "u_split")
+ORACLES["tfidf_regression"] = sql(
+    f"SELECT 'Logistic Regression' AS Model, 'TF-IDF' AS Features, * FROM ({sides('u_split')})", "u_split")
+# Five folds dealt round-robin per class, then eight sizes of what remains beside the largest fold.
+cte("fold_sizes", f"""SELECT count(*) AS n FROM (SELECT ({_rank(True)} - 1) % 5 AS fold FROM split WHERE split = 'train') GROUP BY fold""", "split")
+ORACLES["learning_curve"] = sql(
+    """SELECT CAST(floor((SELECT sum(n) - max(n) FROM fold_sizes) * (CAST(0.1 AS DOUBLE) + CAST(0.9 AS DOUBLE) * step / 7)) AS INTEGER) AS size,
+    true AS bounded FROM range(8) t(step)""", "fold_sizes")

@@ -186,8 +186,15 @@ def top_weighted_terms(df: DataFrame, vector: str, model: TermModel, k: int = 10
 
 def fit_word2vec(train: DataFrame, dim: int = R.WORD2VEC_DIM, window: int = R.WORD2VEC_WINDOW, min_count: int = 2,
                  epochs: int = R.WORD2VEC_EPOCHS, seed: int = R.SEED, tokens: str = "tokens",
-                 partitions: int = 1) -> Word2VecModel:
-    """Word vectors of the training tokens (skip-gram). ``partitions`` trains that many shards side by side."""
+                 partitions: int | None = None) -> Word2VecModel:
+    """Word vectors of the training tokens (skip-gram).
+
+    ``partitions`` shards are trained side by side and averaged, by default as
+    many as the session runs tasks at once. One limit is Spark's own: its fit
+    keeps the vocabulary and its vectors on the driver and fails, with an error,
+    beyond 2^31 / 8 numbers; raise ``min_count`` then.
+    """
+    partitions = partitions or train.sparkSession.sparkContext.defaultParallelism
     learner = Word2Vec(
         vectorSize=dim, windowSize=window, minCount=min_count, maxIter=epochs, seed=seed,
         numPartitions=partitions, inputCol=tokens, outputCol="_w2v",
@@ -195,23 +202,12 @@ def fit_word2vec(train: DataFrame, dim: int = R.WORD2VEC_DIM, window: int = R.WO
     return learner.fit(train.select(tokens))
 
 
-def word2vec_vectors(df: DataFrame, model: Word2VecModel, tokens: str = "tokens", out: str = "word2vec") -> DataFrame:
-    """Mean vector of a text's *known* words, zero without any.
-
-    The model's own transform divides by all words. Counting the known ones
-    with a vectoriser over the model's words puts that right row by row.
-    """
-    words = [r.word for r in model.getVectors().select("word").collect()]
-    known = CountVectorizerModel.from_vocabulary(words, inputCol=tokens, outputCol="_known")
-    dim = model.getVectorSize()
-    summed = known.transform(model.setInputCol(tokens).setOutputCol("_mean").transform(df))
-    n_known = F.aggregate(F.unwrap_udt(F.col("_known")).getField("values"), F.lit(0.0), lambda a, b: a + b)
-    scaled = summed.withColumn("_scale", F.size(tokens) / F.when(n_known > 0, n_known))
-    mean = F.transform(vector_to_array("_mean"), lambda x: x * F.col("_scale"))
-    zero = F.array_repeat(F.lit(0.0), dim)
-    return scaled.withColumn(
-        out, array_to_vector(F.when(F.col("_scale").isNull(), zero).otherwise(mean))
-    ).drop("_known", "_mean", "_scale")
+def word2vec_vectors(df: DataFrame, model: Word2VecModel, tokens: str = "tokens", id_col: str = "id",
+                     out: str = "word2vec") -> DataFrame:
+    """Add the mean vector of a text's *known* words, zero without any (the model's own transform divides by all words)."""
+    vectors = model.getVectors().select("word", vector_to_array("vector").alias("vector"))
+    means = mean_vectors(df, vectors, tokens, id_col, out)
+    return df.join(means.withColumn(out, array_to_vector(out)), id_col)
 
 
 def mean_vectors(df: DataFrame, vectors: DataFrame, tokens: str = "tokens", id_col: str = "id",
@@ -258,14 +254,16 @@ def all_feature_sets(df: DataFrame, valence: DataFrame, polarity: DataFrame, max
     """Four vector columns on a table with ``split``, ``review``, ``tokens`` and ``cleaned_review``.
 
     Vocabulary and word vectors are fitted on the train rows only, once each;
-    TF-IDF and hybrid share the vocabulary of the bag of words.
+    TF-IDF and hybrid share the vocabulary of the bag of words. Terms are made
+    once, and the four columns are written once: what reads one of them later
+    is a scan of that column.
     """
-    termed = with_terms(df)
+    termed = materialize(with_terms(df), "terms")
     train = termed.filter("split = 'train'")
     model = fit_terms(train, max_features)
     embedder = fit_word2vec(train, word2vec_dim, epochs=word2vec_epochs)
     table = tfidf_vectors(count_vectors(termed, model), model).drop("terms")
-    table = word2vec_vectors(table, embedder)
-    scores = lexicon_scores(df, valence, polarity, id_col=id_col, **rules)
-    table = hybrid_vectors(table, scores, id_col=id_col)
+    table = word2vec_vectors(table, embedder, id_col=id_col)
+    scores = lexicon_scores(termed, valence, polarity, id_col=id_col, **rules)
+    table = materialize(hybrid_vectors(table, scores, id_col=id_col), "features")
     return FeatureSets(table, model, embedder, dict(zip(R.FEATURE_SETS, ("bow", "tfidf", "word2vec", "hybrid"))))

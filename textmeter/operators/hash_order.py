@@ -11,7 +11,8 @@ the class sizes are. The number of rows per class and bucket, at most
   looks up that one key per class when called; flagging rows is then a
   comparison with a constant, a projection however often it is reused.
 
-``id`` must be unique. Labels are binary.
+``id`` must be unique. Labels are binary. Rows without an id, or without a label
+of 0 or 1 where one counts, have no rank, belong to no prefix and no remainder.
 """
 
 from __future__ import annotations
@@ -35,10 +36,15 @@ def _stratum(label: str | None) -> Column:
     return F.lit(0) if label is None else F.col(label).cast("int")
 
 
+def rankable(id_col: str, label: str | None) -> Column:
+    """Whether a row has an id and, if one is asked for, a label 0 or 1. Other rows have no rank and no side."""
+    known = F.col(id_col).isNotNull()
+    return known if label is None else known & F.coalesce(F.col(label).isin(*CLASSES), F.lit(False))
+
+
 def _keyed(df: DataFrame, id_col: str, label: str | None, seed: int) -> DataFrame:
-    """Narrow view: class, key, id and bucket of each row."""
-    if label is not None:
-        df = df.filter(F.col(label).isin(*CLASSES))
+    """Narrow view of the rows that can be ranked: class, key, id and bucket of each."""
+    df = df.filter(rankable(id_col, label))
     key = hash_key(F.col(id_col), seed)
     return df.select(
         _stratum(label).alias("_class"),
@@ -53,20 +59,26 @@ def _per_bucket(keyed: DataFrame) -> DataFrame:
 
 
 def ranks(df: DataFrame, out: str, id_col: str = "id", label: str | None = None, seed: int = R.SEED) -> DataFrame:
-    """Add the 1-based rank of each row in hash order, per class if ``label`` is given."""
+    """Add the 1-based rank of each row in hash order, per class if ``label`` is given.
+
+    Rows that cannot be ranked (see ``rankable``) keep a null rank.
+    """
     earlier = W.partitionBy("_class").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     counts = _per_bucket(_keyed(df, id_col, label, seed))
     # Proven bound: one row per class and bucket.
     offsets = F.broadcast(
         counts.select("_class", "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     )
-    bucketed = df.withColumn("_class", _stratum(label)).withColumn("_key", hash_key(F.col(id_col), seed)).withColumn(
-        "_bucket", F.conv(F.substring("_key", 1, HEX_DIGITS), 16, 10).cast("int")
-    )
+    known = rankable(id_col, label)
+    bucket = F.conv(F.substring("_key", 1, HEX_DIGITS), 16, 10).cast("int")
+    # Rows without a rank stay spread: they are no group.
+    bucketed = df.withColumn("_key", hash_key(F.col(id_col), seed)).withColumn(
+        "_class", F.when(known, _stratum(label)).otherwise(-1)
+    ).withColumn("_bucket", F.coalesce(bucket, F.spark_partition_id()))
     inside = W.partitionBy("_class", "_bucket").orderBy("_key", id_col)
     return (
         bucketed.withColumn("_in", F.row_number().over(inside))
-        .join(offsets, ["_class", "_bucket"])
+        .join(offsets, ["_class", "_bucket"], "left")
         .withColumn(out, (F.col("_in") + F.col("_before")).cast("bigint"))
         .drop("_class", "_bucket", "_key", "_in", "_before")
     )
@@ -103,7 +115,7 @@ class HashOrder:
         return edges
 
     def first_rows(self, quotas: Mapping[int, int], flag: str) -> DataFrame:
-        """Flag the first ``quotas[c]`` rows of each class ``c`` (class 0 without a label)."""
+        """Flag the first ``quotas[c]`` rows of each class ``c`` (class 0 without a label); null for rows without a rank."""
         edges = self._edges(quotas)
         chosen = F.lit(False)
         if edges:
@@ -114,7 +126,7 @@ class HashOrder:
             # Proven bound: one row per class.
             for cut in held.filter(_any(place)).select("_class", "_key", "_id").collect():
                 chosen = chosen | self._upto(cut)
-        return self.df.withColumn(flag, chosen)
+        return self.df.withColumn(flag, F.when(rankable(self.id_col, self.label), chosen))
 
     def _upto(self, cut) -> Column:
         here = F.struct(hash_key(F.col(self.id_col), self.seed).alias("_key"), F.col(self.id_col).alias("_id"))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from textmeter import resources as R
 from textmeter.functions import text as X
-from textmeter.operators.splits import uniform_sample
 
 
 def require_columns(df: DataFrame, columns: Iterable[str] = ("review", "sentiment")) -> DataFrame:
@@ -32,13 +32,10 @@ def column_report(df: DataFrame, columns: Iterable[str] = ("review", "sentiment"
 
 
 def realism_gate(df: DataFrame, min_rows: int = R.MIN_ROWS, min_avg_words: float = R.MIN_AVG_WORDS,
-                 min_vocabulary: int = R.MIN_VOCABULARY, sample: int = R.REALISM_SAMPLE,
-                 id_col: str = "id", seed: int = R.SEED) -> DataFrame:
-    """One row: the three measures, the verdict and the first gate that failed."""
+                 min_vocabulary: int = R.MIN_VOCABULARY) -> DataFrame:
+    """One row: the three measures, the verdict and the first gate that failed. All texts are measured."""
     known = df.filter(F.col("review").isNotNull())
-    words = uniform_sample(known, sample, id_col, seed).select(
-        F.explode(X.split_words(F.lower("review"))).alias("word")
-    )
+    words = known.select(F.explode(X.split_words(F.lower("review"))).alias("word"))
     vocabulary = words.agg(F.count_distinct("word").alias("vocabulary"))
     measured = df.agg(
         F.count("*").alias("n_rows"),
@@ -95,7 +92,7 @@ def label_leakage(df: DataFrame, words: Iterable[str] = R.LEAKAGE_WORDS, text: s
     One pass: the words become flags, the flags become counts, the counts become rows.
     """
     words = list(words)
-    hits = [F.coalesce(F.col(text).rlike(rf"(?iU)\b{w}\b"), F.lit(False)).alias(f"_h{i}") for i, w in enumerate(words)]
+    hits = [F.coalesce(F.col(text).rlike(rf"(?iU)\b{re.escape(w)}\b"), F.lit(False)).alias(f"_h{i}") for i, w in enumerate(words)]
     flags = df.select(F.col(label).alias("_label"), *hits)
     counts = []
     for i in range(len(words)):
@@ -128,10 +125,9 @@ def vocabulary_verdict(size: Column) -> Column:
     )
 
 
-def vocab_sanity(df: DataFrame, text: str = "cleaned_review", cap: int = R.AUDIT_VOCABULARY_CAP) -> DataFrame:
-    """Vocabulary size as the audit reports it (capped), and its verdict."""
-    size = F.least(F.count_distinct("token"), F.lit(cap).cast("bigint"))
-    counted = _audit_words(df, text).agg(size.alias("vocabulary"))
+def vocab_sanity(df: DataFrame, text: str = "cleaned_review") -> DataFrame:
+    """Vocabulary size and its verdict."""
+    counted = _audit_words(df, text).agg(F.count_distinct("token").alias("vocabulary"))
     return counted.withColumn("verdict", vocabulary_verdict(F.col("vocabulary")))
 
 

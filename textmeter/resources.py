@@ -81,10 +81,8 @@ LEAKAGE_WORDS = ("positive", "negative", "label", "sentiment")
 MIN_ROWS = 40_000
 MIN_AVG_WORDS = 50
 MIN_VOCABULARY = 5_000
-REALISM_SAMPLE = 5_000
 
 # Audit thresholds.
-AUDIT_VOCABULARY_CAP = 50_000
 AUDIT_VOCABULARY_CRITICAL = 500
 AUDIT_VOCABULARY_WARNING = 5_000
 AUDIT_MIN_MEAN_WORDS = 30
@@ -163,3 +161,9 @@ PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 # Negation words and factor of the published polarity scorer.
 POLARITY_NEGATORS = ("no", "not", "n't", "never")
 POLARITY_NEGATION_FACTOR = -0.5
+
+# Rows of the data summary, in order.
+SUMMARY_LABELS = (
+    "Total Reviews", "Positive Reviews", "Negative Reviews", "Avg Length (Positive)", "Avg Length (Negative)",
+    "Max Length (Positive)", "Max Length (Negative)", "Min Length (Positive)", "Min Length (Negative)",
+)

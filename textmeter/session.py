@@ -9,8 +9,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str = "textmeter") -> SparkSession:
-    """A single-machine session for tests and benches. Clusters bring their own."""
+def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str = "textmeter",
+                  folder: str | None = None) -> SparkSession:
+    """A single-machine session for tests and benches. Clusters bring their own.
+
+    ``folder`` is where written tables go; by default a temporary one, as
+    driver and executors share the machine here.
+    """
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -20,6 +25,7 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.checkpoint.dir", folder or _local_folder())
         .getOrCreate()
     )
 
@@ -32,8 +38,9 @@ def _local_folder() -> str:
 def shared_folder(spark: SparkSession) -> str:
     """Where written tables go: the folder the cluster names, never a machine-local one.
 
-    Only a local session, where driver and executors share one disk, falls back
-    to a temporary folder; on a cluster an unset folder is an error.
+    Only a local session that someone else made, where driver and executors
+    share one disk, gets a temporary folder; on a cluster an unset folder is an
+    error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
@@ -44,6 +51,7 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folder()
 
 
+#: Paths handed out and not removed yet, by shared folder.
 _WRITTEN: dict[str, set[str]] = {}
 
 
@@ -53,7 +61,7 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     The session owns it: ``remove_written`` deletes whatever is left there.
     """
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    _WRITTEN.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    _WRITTEN.setdefault(shared_folder(spark), set()).add(path)
     return path
 
 
@@ -61,12 +69,12 @@ def remove(spark: SparkSession, path: str) -> None:
     """Delete a written table that nothing reads any more."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-    _WRITTEN.get(spark.sparkContext.applicationId, set()).discard(path)
+    _WRITTEN.get(shared_folder(spark), set()).discard(path)
 
 
 def remove_written(spark: SparkSession) -> None:
     """Delete every intermediate table of this session; call it when its results have been read."""
-    for path in sorted(_WRITTEN.get(spark.sparkContext.applicationId, ())):
+    for path in sorted(_WRITTEN.get(shared_folder(spark), ())):
         remove(spark, path)
 
 
@@ -81,12 +89,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows over all cores, when the table arrives in fewer pieces.
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """Rows of a scanned table over all cores, when it lies in fewer files than there are cores.
 
-    A file with a single row group is one task, whatever its size. A table in
-    many files passes through without a shuffle. Adaptive execution merges
-    partitions that turn out tiny.
+    A file with a single row group is one task, whatever its size. Only file
+    names are looked at, so no job runs, and a table in many files passes
+    through as it is. Rows are placed by ``key``: a join on it needs no other
+    exchange of this side.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(key)
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if len(scan.inputFiles()) >= cores else scan.repartition(key)

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import csv
+from hashlib import sha256
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, SparkRuntimeException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.utils import AnalysisException
 
+from textmeter.operators.quality import realism_gate
 from textmeter.operators.splits import seeded_shuffle
 from textmeter.session import fresh_path
 
@@ -33,15 +38,33 @@ def write_csv(df: DataFrame, path: str) -> str:
     return path
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType = REVIEWS) -> DataFrame | None:
-    """The table at ``path``, or None when there is none. A row that does not fit the schema is an error."""
-    reader = spark.read.schema(schema).options(**CSV_OPTIONS, multiLine=True, mode="FAILFAST")
+def _header(spark: SparkSession, path: str) -> list[str] | None:
+    """Column names in the file's first line; None if there is no readable file."""
     try:
-        return reader.csv(path)
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" in (e.getCondition() or ""):
-            return None
-        raise
+        first = spark.read.text(path).first()
+    except (AnalysisException, SparkRuntimeException, Py4JJavaError):
+        return None
+    return next(csv.reader([first.value])) if first else None
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType = REVIEWS) -> DataFrame | None:
+    """The table at ``path`` with the columns of ``schema``, or None when no readable file is there.
+
+    Columns are found by their names in the header, in any order; a header with
+    other names is an error, and so is, when it is read, a row that does not fit.
+    Where only ``id`` is missing, rows are numbered: unique, not consecutive.
+    """
+    names = _header(spark, path)
+    if names is None:
+        return None
+    missing = [f.name for f in schema.fields if f.name not in names]
+    if missing not in ([], ["id"]):
+        raise ValueError(f"{path}: missing columns: {', '.join(missing)}")
+    stored = T.StructType([schema[n] if n in schema.names else T.StructField(n, T.StringType()) for n in names])
+    rows = spark.read.schema(stored).options(**CSV_OPTIONS, multiLine=True, mode="FAILFAST").csv(path)
+    if missing:
+        rows = rows.withColumn("id", F.monotonically_increasing_id())
+    return rows.select(*schema.names)
 
 
 def union_splits(*parts: DataFrame, text: str = "text", label: str = "label") -> DataFrame:
@@ -55,11 +78,19 @@ def union_splits(*parts: DataFrame, text: str = "text", label: str = "label") ->
     return whole
 
 
-def load_reviews(spark: SparkSession, path: str, *parts: DataFrame) -> DataFrame:
-    """The stored review table, or the shuffled union of ``parts`` when nothing is stored yet."""
+def load_reviews(spark: SparkSession, path: str, *parts: DataFrame, **gates) -> DataFrame:
+    """The stored review table if it passes the realism gate, else the shuffled union of ``parts``, stored.
+
+    ``gates`` are the gate's limits. Without ``parts``, a table that is not
+    there or does not pass is an error.
+    """
     stored = read_csv(spark, path)
     if stored is not None:
-        return stored
+        verdict = realism_gate(stored, **gates).first()
+        if verdict.passed:
+            return stored
+    if not parts:
+        raise ValueError(f"{path}: " + ("no table" if stored is None else f"the realism gate fails at {verdict.reason}"))
     shuffled = seeded_shuffle(union_splits(*parts)).select(F.col("position").alias("id"), "review", "sentiment")
     write_csv(shuffled, path)
     return read_csv(spark, path)
@@ -73,27 +104,41 @@ def _path_exists(spark: SparkSession, path: str) -> bool:
         return False
 
 
-def fingerprint(df: DataFrame, id_col: str = "id", text: str = "review") -> DataFrame:
-    """One row (n_rows, fingerprint) that changes with the rows' content, not with their order."""
-    return df.agg(F.count("*").alias("n_rows"), F.bit_xor(F.xxhash64(id_col, text)).alias("fingerprint"))
+def fingerprint(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """One row (n_rows, fingerprint) that changes with the rows' content, not with their order.
+
+    Hashes are summed, so repeated rows count too. All columns, unless named.
+    """
+    columns = sorted(columns or df.columns)
+    # A null moves the hash of what follows: names and null flags go in.
+    row = F.xxhash64(*[F.lit(c) for c in columns], *[F.col(c).isNull() for c in columns], *columns)
+    return df.agg(F.count("*").alias("n_rows"), F.sum(row.cast("decimal(38,0)")).cast("string").alias("fingerprint"))
+
+
+def _settings_key(settings: dict) -> str:
+    """Settings as text; a table stands for its content."""
+    shown = {k: tuple(fingerprint(v).first()) if isinstance(v, DataFrame) else v for k, v in settings.items()}
+    return repr(sorted(shown.items(), key=lambda kv: kv[0]))
 
 
-def cleaned_cache(df: DataFrame, path: str, clean) -> DataFrame:
-    """The stored cleaned table if it belongs to ``df``, else ``clean(df)``, stored.
+def cleaned_cache(df: DataFrame, path: str, clean, **settings) -> DataFrame:
+    """The stored table of ``clean(df, **settings)``, made if it is not there yet.
 
-    A stored table belongs when it has ``cleaned_review``, as many rows, and
-    the same content of the raw texts; equal row counts alone would let a
-    stale table through. A new table goes to its own folder under ``path``, so
-    a run that fails half-way leaves the old one whole.
+    The folder under ``path`` is named by the content of every column of ``df``
+    and by the cleaning function and its settings, so a table made from other
+    labels or by other rules is another one. What is stored is compared again
+    before it is used. A run that fails half-way leaves no table behind: the
+    folder counts once its writer has finished.
     """
     spark = df.sparkSession
     now = fingerprint(df).first()
-    folder = f"{path}/{now.n_rows}-{(now.fingerprint or 0) & 0xFFFFFFFFFFFFFFFF:016x}"
+    rules = f"{getattr(clean, '__module__', '')}.{getattr(clean, '__qualname__', repr(clean))} {_settings_key(settings)}"
+    folder = f"{path}/{sha256(f'{tuple(now)} {sorted(df.dtypes)} {rules}'.encode()).hexdigest()[:32]}"
     if _path_exists(spark, folder):
         stored = spark.read.parquet(folder)
-        if "cleaned_review" in stored.columns and fingerprint(stored).first() == now:
+        if {"cleaned_review", *df.columns} <= {*stored.columns} and fingerprint(stored, df.columns).first() == now:
             return stored
-    clean(df).write.mode("overwrite").parquet(folder)
+    clean(df, **settings).write.mode("overwrite").parquet(folder)
     return spark.read.parquet(folder)
 
 
@@ -101,7 +146,7 @@ def upsert_result(existing: DataFrame | None, new: DataFrame) -> DataFrame:
     """Results with the rows of the new row's model replaced."""
     if existing is None:
         return new
-    kept = existing.join(F.broadcast(new.select("Model").distinct()), "Model", "left_anti")
+    kept = existing.join(new.select("Model").distinct(), "Model", "left_anti")
     return kept.select(*existing.columns).unionByName(new)
 
 
