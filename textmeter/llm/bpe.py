@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
 #: Pieces a worker remembers; beyond it starts anew.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 20
 #: A blank alone between other characters: no match of the pattern reaches across its left side.
 LONE_BLANK = re.compile(r"(?<=\S) (?=\S)")
 
@@ -108,6 +108,7 @@ class Encoder:
 
         self.library = Tokenizer.from_str(tokenizer)
         self.library.encode_special_tokens = True
+        self.after_blank = np.array([t[:1] == b" " for t in token_bytes(tokenizer)])
         self.heads: dict[str, bytes] = {}
         #: Pieces after a blank; None for those that are not the whole of a piece.
         self.tails: dict[str, bytes | None] = {}
@@ -116,6 +117,18 @@ class Encoder:
         found = self.library.encode_batch_fast(pieces, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
+    def _encode_tails(self, pieces: list[str]) -> list[bytes]:
+        """Pieces without a blank inside, each after one: encoded as one text, cut where a token begins with a blank."""
+        found: list[bytes] = []
+        for group in grouped(pieces):
+            ids = np.array(self.library.encode_batch_fast([" " + " ".join(group)], add_special_tokens=False)[0].ids, "<u4")
+            begins = np.flatnonzero(self.after_blank[ids])
+            if len(begins) != len(group):
+                raise ValueError("the tokenizer's pattern reaches across lone blanks")
+            data, edges = ids.tobytes(), (4 * np.append(begins, len(ids))).tolist()
+            found += [data[a:b] for a, b in zip(edges, edges[1:])]
+        return found
+
     def _learn(self, texts: list[list[str]]) -> None:
         if len(self.tails) + len(self.heads) > REMEMBERED:
             self.heads, self.tails = {}, {}
@@ -127,7 +140,7 @@ class Encoder:
         tails.difference_update(self.tails)
         whole = [p for p in tails if p and not p[0].isspace() and not p[-1].isspace()]
         self.tails.update(dict.fromkeys(tails))
-        self.tails.update(zip(whole, self._encode([" " + p for p in whole])))
+        self.tails.update(zip(whole, self._encode_tails(whole)))
 
     def _apart(self, text: str) -> bytes:
         """A text with blanks beside white space or its ends: cut at lone blanks only."""

@@ -241,11 +241,11 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        writer, end = _Writer(folder, TaskContext.get().partitionId(), kind), np.array([end_id], "<u4")
+        writer, end = _Writer(folder, TaskContext.get().partitionId(), kind), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for k, data in zip(batch.column(0).to_pylist(), bpe.encode_texts(shipped.value, texts)):
-                writer.add(k, np.concatenate((np.frombuffer(data, "<u4"), end)))
+                writer.add(k, np.frombuffer(data + end, "<u4"))
                 if writer.size >= SHARD_TOKENS:
                     yield writer.close()
         if writer.keys:
