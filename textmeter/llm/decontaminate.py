@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -98,8 +99,15 @@ class Benchmark:
         self.weights = {s: round(UNIT * np.log1p(len(self.items) / n)) for s, n in having.items()}
         self.plain = round(UNIT * np.log1p(len(self.items)))
         self.vocabulary = {w: i for i, w in enumerate(sorted({w for _, words, _ in self.items for w in words}))}
-        #: Shingles as numbers of their words' numbers; short items' shingles by length.
-        self.keys = {n: np.unique(np.array([self._key([self.vocabulary[w] for w in s]) for s in having if len(s) == n], "u8")) for n in {len(s) for s in having}}
+        #: By shingle length: shingles as numbers of their words' numbers, and the sizes of the items that have them.
+        self.keys: dict[int, tuple[np.ndarray, list[set[int]]]] = {}
+        sizes_of: dict[int, dict[int, set[int]]] = {}
+        for _, words, bag in self.items:
+            for s in bag:
+                key = self._key(self.vocabulary[w] for w in s)
+                sizes_of.setdefault(len(s), {}).setdefault(key, set()).add(len(words))
+        for n, found in sizes_of.items():
+            self.keys[n] = np.array(sorted(found), "u8"), [found[k] for k in sorted(found)]
         self.by_size: dict[int, tuple[list[int], HammingIndex]] = {}
         sizes: dict[int, list[int]] = {}
         for at, (_, words, _) in enumerate(self.items):
@@ -127,29 +135,30 @@ class Benchmark:
         common = sum(self.weight(s) * min(a[s], b[s]) for s in every)
         return common / sum(self.weight(s) * max(a[s], b[s]) for s in every)
 
-    def anchors(self, words: list[str], n: int) -> np.ndarray:
-        """Where a run of n words is a shingle of some item (or hashes like one)."""
-        known = self.vocabulary.get
-        numbers = np.array([known(w, -1) for w in words], "i8")
-        if len(numbers) < n:
-            return np.zeros(0, "i8")
-        runs = len(numbers) - n + 1
-        at = np.arange(runs)
-        # A word that no item has ends the matter early for most places.
-        for i in range(n):
-            at = at[numbers[at + i] >= 0]
-        key = np.zeros(len(at), "u8")
-        for i in range(n):
-            key = key * np.uint64(1_000_003) + (numbers[at + i] + 1).astype("u8")
-        keys = self.keys[n]
-        place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-        return at[keys[place] == key]
-
-    def windows(self, anchors: dict[int, np.ndarray], size: int, words: int) -> np.ndarray:
+    def anchors(self, words: list[str]) -> dict[int, list[int]]:
+        """{size: places where a shingle of an item of that size (or one that hashes like it) begins}."""
+        numbers = np.fromiter(map(self.vocabulary.get, words, itertools.repeat(-1)), "i8", len(words))
+        out: dict[int, list[int]] = {}
+        for n, (keys, sizes) in self.keys.items():
+            at = np.arange(max(0, len(numbers) - n + 1))
+            # A word that no item has ends the matter early for most places.
+            for i in range(n):
+                at = at[numbers[at + i] >= 0]
+            key = np.zeros(len(at), "u8")
+            for i in range(n):
+                key = key * np.uint64(1_000_003) + (numbers[at + i] + 1).astype("u8")
+            place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            hit = keys[place] == key
+            for begin, k in zip(at[hit].tolist(), place[hit].tolist()):
+                for size in sizes[k]:
+                    out.setdefault(size, []).append(begin)
+        return out
+
+    @staticmethod
+    def windows(anchors: list[int], size: int, words: int) -> np.ndarray:
         """First words of all windows of a size that hold an anchor."""
-        n = min(size, WIDTH)
-        at = anchors.get(n, np.zeros(0, "i8"))
-        if words < size or not len(at):
+        n, at = min(size, WIDTH), np.array(anchors)
+        if words < size:
             return np.zeros(0, "i8")
         mark = np.zeros(words + 2, "i8")
         np.add.at(mark, np.maximum(at - (size - n), 0), 1)
@@ -159,18 +168,19 @@ class Benchmark:
     def search(self, text: str) -> Iterator[tuple[int, int, int, float, int]]:
         """(item, start, end, similarity, differing bits) of each item's best window, places in characters.
 
-        All windows of an item's size are compared, except those without any
-        shingle of any item: their similarity to every item is zero. SimHash
-        proposes, the shingles decide. Among equal windows the first one counts.
+        All windows of an item's size are compared, except those without a
+        shingle of any item of that size: their similarity to these items is
+        zero. SimHash proposes, the shingles decide. Among equal windows the
+        first one counts.
         """
-        lowered = [w.lower() for w in WORD.findall(text)]
-        anchors = {n: found for n in self.keys if len(found := self.anchors(lowered, n))}
+        anchors = self.anchors(list(map(str.lower, WORD.findall(text))))
         if not anchors:
             return
         words, places = words_of(text)
         bits = functools.cache(lambda s: self.weight(s) * shingle_bits(s))
-        for size, (items, index) in sorted(self.by_size.items()):
-            starts = self.windows(anchors, size, len(words))
+        for size in sorted(anchors):
+            items, index = self.by_size[size]
+            starts = self.windows(anchors[size], size, len(words))
             n = min(size, WIDTH)
             best: dict[int, tuple] = {}
             # Stretches of adjacent windows share their sums.
