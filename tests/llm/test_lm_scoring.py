@@ -76,7 +76,7 @@ def test_chances_add_up(spark):
 def test_target_like_texts_score_lower(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     german = docs.filter("lang = 'de'").select("doc_id")
-    got = lm_scoring.cross_entropy_difference(docs, german).join(docs, "doc_id").filter("n_tokens > 200").groupBy(docs.lang == "de").avg("score").collect()
+    got = lm_scoring.cross_entropy_difference(docs, german).join(docs.selectExpr("doc_id", "lang = 'de' AS de"), "doc_id").filter("n_tokens > 200").groupBy("de").avg("score").collect()
     by = {r[0]: r[1] for r in got}
     assert by[True] < by[False] - 0.3
 

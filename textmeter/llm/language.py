@@ -61,16 +61,15 @@ def features(text: str) -> np.ndarray:
         run = np.concatenate((carried, block, [np.uint32(32)] if first + BLOCK >= len(points) else []))
         # Of a run of other characters one blank stays.
         run = run[np.concatenate(([True], (run[1:] != 32) | (run[:-1] != 32)))].astype("u8")
-        tail = min(len(run), max(ORDERS) - 1)
         for order in ORDERS:
-            if len(run) < order:
-                continue
-            gram = np.zeros(len(run) - order + 1, "u8")
+            # Grams that end in this block; the others are counted.
+            begin = max(0, len(carried) - order + 1)
+            gram = np.zeros(max(0, len(run) - order + 1 - begin), "u8")
             for i in range(order):
-                gram = gram * np.uint64(1_000_003) + run[i:len(run) - order + 1 + i]
+                gram = gram * np.uint64(1_000_003) + run[begin + i:begin + i + len(gram)]
             gram = (gram * np.uint64(0x9E3779B97F4A7C15) + np.uint64(order)) >> np.uint64(40)
             counts += np.bincount((gram % np.uint64(BUCKETS)).astype("i8"), minlength=BUCKETS)
-        carried = run[len(run) - tail:].astype("u4")
+        carried = run[-(max(ORDERS) - 1):].astype("u4")
     weights = np.sqrt(counts)
     return (weights / max(np.linalg.norm(weights), 1e-12)).astype("f4")
 
