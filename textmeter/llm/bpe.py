@@ -8,14 +8,15 @@ import json
 import os
 import re
 from collections.abc import Iterable, Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
 #: Pieces a worker remembers; beyond it starts anew.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 19
 #: A blank alone between other characters: no match of the pattern reaches across its left side.
 LONE_BLANK = re.compile(r"(?<=\S) (?=\S)")
 
@@ -171,8 +172,9 @@ def _encoder(tokenizer: str) -> Encoder:
     return Encoder(tokenizer)
 
 
-#: Characters encoded together.
+#: Characters encoded together, and rows that leave a worker together at most.
 GROUP = 1 << 22
+ROWS = 1 << 11
 
 
 def grouped(texts: Iterable[str]) -> Iterator[list[str]]:
@@ -194,6 +196,11 @@ def encode_texts(tokenizer: str, texts: Iterable[str]) -> Iterator[bytes]:
         yield from encoder.encode(group)
 
 
+def decode_ids(tokenizer: str, ids: list[int]) -> bytes:
+    """The bytes of the ids' tokens in a row; a character split over tokens is whole again."""
+    return b"".join(map(token_bytes(tokenizer).__getitem__, ids))
+
+
 def character_offsets(text: str, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(start, end) in characters of each token: the characters its bytes belong to.
 
@@ -211,6 +218,13 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(edges), pa.array(flat.astype("i4")))
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches: what is made of one part leaves the worker before the next part is made."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, ROWS):
+            yield batch.slice(first, ROWS)
+
+
 def _ship(spark: SparkSession, tokenizer: str):
     """The tokenizer's file for the workers: a broadcast bounded by that file."""
     return spark.sparkContext.broadcast(tokenizer)
@@ -224,7 +238,8 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", offsets: bool =
     ordinary text. Offsets are in characters of the text. A null or empty text
     has no ids. Columns named ``ids``, ``starts`` or ``ends`` are replaced; other
     columns, repeated rows and null keys pass through. An empty table gives an
-    empty table. Nothing is shuffled; a task holds one Arrow batch.
+    empty table. Nothing is shuffled; a worker holds one Arrow batch
+    and what was made of a part of it.
     """
     added = ["ids", *(["starts", "ends"] if offsets else [])]
     kept = [c for c in docs.columns if c != text and c not in added]
@@ -234,7 +249,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", offsets: bool =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths = np.array([len(t) for t in token_bytes(shipped.value)]) if offsets else None
-        for batch in batches:
+        for batch in _slices(batches):
             texts = batch.column(len(kept)).to_pylist()
             columns: list[list[np.ndarray]] = [[] for _ in added]
             for t, data in zip(texts, encode_texts(shipped.value, texts)):
@@ -260,10 +275,9 @@ def decode(encoded: DataFrame, tokenizer: str, ids: str = "ids") -> DataFrame:
     schema = StructType([f for f in encoded.schema.fields if f.name in names] + [StructField("decoded", BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = token_bytes(shipped.value).__getitem__
-        for batch in batches:
+        for batch in _slices(batches):
             at = batch.column(names.index(ids))
-            out = [None if x.as_py() is None else b"".join(map(of, x.values.to_numpy().tolist())) for x in at]
+            out = [decode_ids(shipped.value, x.values.to_numpy().tolist()) if x.is_valid else None for x in at]
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(names))] + [pa.array(out, pa.binary())], [*names, "decoded"])
 
     return encoded.select(*(F.col(f"`{c}`") for c in names)).mapInArrow(run, schema)
@@ -280,12 +294,22 @@ def decode_text(encoded: DataFrame, tokenizer: str, ids: str = "ids") -> DataFra
 
 
 def digests(docs: DataFrame, tokenizer: str, key: str = "doc_id") -> DataFrame:
-    """(key, n_tokens, ids_sha256, decoded_sha256) of each text: encoded, then decoded from the ids."""
-    decoded = decode(encode(docs.select(key, "text"), tokenizer), tokenizer)
-    # array_join writes ids in decimal; both digests stay in the JVM.
-    return decoded.select(
-        key,
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
-    )
+    """(key, n_tokens, ids_sha256, decoded_sha256) of each text: encoded, then decoded from the ids.
+
+    Both directions run in one pass, so ids never leave the worker: what
+    ``decode(encode(...))`` gives, as digests.
+    """
+    shipped = _ship(docs.sparkSession, tokenizer)
+    fields = [docs.schema[key], StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decimal = [str(i) for i in range(len(token_bytes(shipped.value)))]
+        for batch in _slices(batches):
+            rows = []
+            for data in encode_texts(shipped.value, batch.column(1).to_pylist()):
+                ids = np.frombuffer(data, "<u4").tolist()
+                written = " ".join(map(decimal.__getitem__, ids)).encode()
+                rows.append((len(ids), sha256(written).hexdigest(), sha256(decode_ids(shipped.value, ids)).hexdigest()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, zip(*rows))], [f.name for f in fields])
+
+    return docs.select(key, F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(run, StructType(fields))
