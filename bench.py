@@ -14,7 +14,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from textmeter.catalog.queries import QUERIES  # noqa: E402
-from textmeter.session import local_session  # noqa: E402
+from textmeter.session import local_session, remove_written  # noqa: E402
 
 HEADLINE = (
     # sources and gates
@@ -24,10 +24,10 @@ HEADLINE = (
     # text
     "expand_contractions", "clean_text", "tokenize", "lemmatize", "word_count", "negation_count",
     # features
-    "bow_vocabulary", "bow_transform", "tfidf_transform", "tfidf_top_tokens", "word2vec_doc_vectors",
-    "lexicon_valence", "lexicon_polarity", "hybrid_features",
+    "bow_vocabulary", "bow_transform", "tfidf_transform", "tfidf_top_tokens", "word2vec_fit", "word2vec_doc_vectors",
+    "lexicon_valence", "lexicon_polarity", "hybrid_features", "all_feature_sets",
     # models
-    "logistic_regression", "linear_svm", "random_forest", "sentiment_study",
+    "logistic_regression", "linear_svm", "random_forest", "train_and_predict", "model_store", "tfidf_regression",
     # evaluation and exploration
     "classification_metrics", "mcc_matrix", "error_analysis", "top_words", "word_cloud_collocations",
     "length_histogram", "length_boxplot", "dataset_summary",
@@ -46,6 +46,7 @@ def main() -> None:
         start = time.perf_counter()
         QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
+        remove_written(spark)
     print(json.dumps({
         "metric": "total_query_seconds",
         "value": round(sum(times.values()), 3),
