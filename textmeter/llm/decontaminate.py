@@ -21,8 +21,6 @@ SIMILARITY = 0.8
 BITS = 64
 #: Fingerprints of windows and items may differ in so many bits; see ``test_radius``.
 RADIUS = 23
-#: Weights are counted in such fractions, so sums are exact.
-UNIT = 1000
 #: Bytes of benchmark text that one broadcast holds; a larger benchmark is searched in parts.
 PART_BYTES = 16 << 20
 
@@ -86,18 +84,15 @@ class HammingIndex:
 class Benchmark:
     """The items: their shingles, weights and fingerprints, ready to search documents.
 
-    A shingle weighs ln(1 + items / items that have it), in thousandths, at its
-    number of occurrences; one that no item has weighs as much as one that a
-    single item has. Fingerprints and similarities use the same weights.
+    A shingle weighs the number of its characters, as often as it occurs: what a
+    window and an item share counts by its length, whatever other items there
+    are. Fingerprints and similarities use the same weights, whole numbers.
     """
 
     def __init__(self, items: list[tuple[int, str]], radius: int = RADIUS, similarity: float = SIMILARITY):
         self.similarity = similarity
         parsed = [(i, words_of(t)[0]) for i, t in items]
         self.items = [(i, w, Counter(shingles(w))) for i, w in parsed if w]
-        having = Counter(s for *_, bag in self.items for s in bag)
-        self.weights = {s: round(UNIT * np.log1p(len(self.items) / n)) for s, n in having.items()}
-        self.plain = round(UNIT * np.log1p(len(self.items)))
         self.vocabulary = {w: i for i, w in enumerate(sorted({w for _, words, _ in self.items for w in words}))}
         #: By shingle length: shingles as numbers of their words' numbers, and the sizes of the items that have them.
         self.keys: dict[int, tuple[np.ndarray, list[set[int]]]] = {}
@@ -123,8 +118,9 @@ class Benchmark:
             key = (key * 1_000_003 + int(n) + 1) % 2**64
         return key
 
-    def weight(self, shingle: tuple[str, ...]) -> int:
-        return self.weights.get(shingle, self.plain)
+    @staticmethod
+    def weight(shingle: tuple[str, ...]) -> int:
+        return sum(map(len, shingle))
 
     def _sums(self, bag) -> np.ndarray:
         return sum((self.weight(s) * shingle_bits(s) for s in bag), np.zeros(BITS, "i8"))
