@@ -11,8 +11,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from textmeter.llm.common import ranked_id, store
-
 #: The vocabulary both models share: the 256 bytes. A text begins after two zero bytes.
 VOCABULARY = 256
 ORDER = 3
@@ -148,7 +146,8 @@ def cross_entropy_difference(docs: DataFrame, good: DataFrame, key: str = "doc_i
     If no text is in ``good``, the target model knows nothing and gives every
     byte the same chance.
     """
-    # Key and text move once, for the target; semi-joined, so repeated keys in ``good`` count once.
-    keys = good.select(F.col(key).alias("__key")).filter("__key IS NOT NULL").distinct()
+    # Key and text move once, for the target; semi-joined, so repeated keys in ``good`` count once. The
+    # narrow keys are hashed at any size: texts are not sorted, and a small table is handled like a large one.
+    keys = good.select(F.col(key).alias("__key")).filter("__key IS NOT NULL").distinct().hint("shuffle_hash")
     target = docs.select(F.col(key).alias("__key"), "text").join(keys, "__key", "left_semi")
     return score(docs, *fit(target, docs), key)
