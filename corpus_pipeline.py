@@ -40,8 +40,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each text, and whether decoding them gives its bytes back."""
     tokenizer = bpe.tokenizer_json(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text", F.xxhash64(data).alias("given")), tokenizer)
-    decoded = bpe.decode(encoded, tokenizer)
+    decoded = bpe.encode(docs.select("doc_id", "lang", "source", "text", F.xxhash64(data).alias("given")), tokenizer, decoded=True)
     same = F.xxhash64("decoded") == F.col("given")
     return decoded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("lossless"))
 

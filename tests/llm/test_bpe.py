@@ -59,6 +59,8 @@ def test_columns_offsets_and_round_trip(spark, oracle, ours):
     df = spark.createDataFrame(rows, "doc_id long, text string, starts string")
     got = bpe.decode(bpe.encode(df, ours, offsets=True), ours).collect()
     assert len(got) == len(rows)
+    together = bpe.encode(df, ours, decoded=True).collect()
+    assert [(r.ids, r.decoded) for r in together] == [(r.ids, r.decoded) for r in got]
     table = bpe.token_bytes(ours)
     for r, (_, t, _) in zip(got, rows):
         t = t or ""

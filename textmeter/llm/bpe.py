@@ -173,7 +173,7 @@ def _encoder(tokenizer: str) -> Encoder:
 
 
 #: Characters encoded together, and rows that leave a worker together at most.
-GROUP = 1 << 22
+GROUP = 1 << 20
 ROWS = 1 << 11
 
 
@@ -230,22 +230,25 @@ def _ship(spark: SparkSession, tokenizer: str):
     return spark.sparkContext.broadcast(tokenizer)
 
 
-def encode(docs: DataFrame, tokenizer: str, text: str = "text", offsets: bool = False) -> DataFrame:
+def encode(docs: DataFrame, tokenizer: str, text: str = "text", offsets: bool = False, decoded: bool = False) -> DataFrame:
     """``docs`` without its text, with ``ids`` (array of int); with ``offsets`` also ``starts`` and ``ends``.
 
+    With ``decoded`` also the bytes that ``decode`` makes of the ids, in the same pass.
+
     ``tokenizer`` is the JSON of a byte-level tokenizer (``tokenizer_json``). Whole
     texts are encoded, without special tokens; strings that look like one are
     ordinary text. Offsets are in characters of the text. A null or empty text
-    has no ids. Columns named ``ids``, ``starts`` or ``ends`` are replaced; other
+    has no ids. Columns with the names of added ones are replaced; other
     columns, repeated rows and null keys pass through. An empty table gives an
     empty table. Nothing is shuffled; a worker holds one Arrow batch
     and what was made of a part of it.
     """
     added = ["ids", *(["starts", "ends"] if offsets else [])]
-    kept = [c for c in docs.columns if c != text and c not in added]
+    kept = [c for c in docs.columns if c != text and c not in added and (c, decoded) != ("decoded", True)]
     shipped = _ship(docs.sparkSession, tokenizer)
     read = docs.select(*(F.col(f"`{c}`") for c in kept), F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    schema = StructType([f for f in docs.schema.fields if f.name in kept] + [StructField(c, ArrayType(IntegerType())) for c in added])
+    fields = [f for f in docs.schema.fields if f.name in kept] + [StructField(c, ArrayType(IntegerType())) for c in added]
+    schema = StructType(fields + [StructField("decoded", BinaryType())] * decoded)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths = np.array([len(t) for t in token_bytes(shipped.value)]) if offsets else None
@@ -258,7 +261,10 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", offsets: bool =
                 if offsets:
                     start, end = character_offsets(t, ids, lengths) if len(ids) else (ids, ids)
                     columns[1].append(start), columns[2].append(end)
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(kept))] + [_lists(c) for c in columns], [*kept, *added])
+            arrays = [batch.column(i) for i in range(len(kept))] + [_lists(c) for c in columns]
+            if decoded:
+                arrays.append(pa.array([decode_ids(shipped.value, ids.tolist()) for ids in columns[0]], pa.binary()))
+            yield pa.RecordBatch.from_arrays(arrays, schema.names)
 
     return read.mapInArrow(run, schema)
 
