@@ -132,7 +132,7 @@ class Encoder:
 
     def _learn(self, texts: list[list[str]]) -> None:
         if len(self.tails) + len(self.heads) > REMEMBERED:
-            self.heads, self.tails = {}, {}
+            self.forget()
         heads = list({t[0] for t in texts}.difference(self.heads))
         self.heads.update(zip(heads, self._encode(heads)))
         tails: set[str] = set()
@@ -152,6 +152,9 @@ class Encoder:
             known[i] = ids
         return self._encode([head])[0] + b"".join(known)
 
+    def forget(self) -> None:
+        self.heads, self.tails = {}, {}
+
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.split(" ") for t in texts]
         self._learn(split)
@@ -190,6 +193,11 @@ def grouped(texts: Iterable[str]) -> Iterator[list[str]]:
         yield group
 
 
+def forget(tokenizer: str) -> None:
+    """At the end of a task: the worker goes on to other work without the pieces it remembers."""
+    _encoder(tokenizer).forget()
+
+
 def encode_texts(tokenizer: str, texts: Iterable[str]) -> Iterator[bytes]:
     encoder = _encoder(tokenizer)
     for group in grouped(texts):
@@ -265,6 +273,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", offsets: bool =
             if decoded:
                 arrays.append(pa.array([decode_ids(shipped.value, ids.tolist()) for ids in columns[0]], pa.binary()))
             yield pa.RecordBatch.from_arrays(arrays, schema.names)
+        forget(shipped.value)
 
     return read.mapInArrow(run, schema)
 
@@ -317,5 +326,6 @@ def digests(docs: DataFrame, tokenizer: str, key: str = "doc_id") -> DataFrame:
                 written = " ".join(map(decimal.__getitem__, ids)).encode()
                 rows.append((len(ids), sha256(written).hexdigest(), sha256(decode_ids(shipped.value, ids)).hexdigest()))
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, zip(*rows))], [f.name for f in fields])
+        forget(shipped.value)
 
     return docs.select(key, F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(run, StructType(fields))

@@ -250,6 +250,7 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None =
                     yield writer.close()
         if writer.keys:
             yield writer.close()
+        bpe.forget(shipped.value)
 
     rows = docs.select(ranked_id(F.col(key)).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     order = ["key", F.xxhash64("text")]
