@@ -24,8 +24,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines an earlier document has; texts of which nothing is left go."""
-    cut = line_dedup.drop_repeated_units(docs)
+    """Texts without the lines an earlier document has, short ones too; texts of which nothing is left go."""
+    cut = line_dedup.drop_repeated_units(docs, min_words=1)
     emptied = (F.size("removed") > 0) & (F.trim("text") == "")
     length = F.when(F.size("removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
     return cut.filter(~F.coalesce(emptied, F.lit(False))).withColumn("n_chars", length.cast("long")).select(docs.columns)

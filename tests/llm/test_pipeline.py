@@ -51,6 +51,14 @@ def test_lines_are_unique_afterwards(steps):
         seen |= set(digests)
 
 
+def test_short_lines_are_unique_too(spark):
+    clause = "这是一个没有空格的长句子，它有四个分句，每一句都重复，所以应当删除"
+    rows = [(1, f"theand thble reingwh\n{clause}\nown one", "en", "s", 0), (2, f"{clause}\nTheand, thble reingwh!\nown two\n--", "en", "s", 0), (3, "Own two.", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.repeated_lines(spark, docs, SF).collect()}
+    assert got == {1: rows[0][1], 2: "own two\n--"}
+
+
 def test_no_item_is_left(steps, spark):
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
     benchmark = decontaminate.Benchmark(items)
