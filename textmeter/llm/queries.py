@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textmeter.llm import ann, bpe, decontaminate, language, line_dedup, lm_scoring, sharding, simhash, token_store, url_filter
+from textmeter.llm import ann, bpe, decontaminate, language, line_dedup, sharding, simhash, token_store, url_filter, word_lm
 from textmeter.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,7 +45,7 @@ def op4_line_dedup(spark, sf):
 @query
 def op5_cross_entropy(spark, sf):
     good = table(spark, sf, "labels").filter("quality = 1")
-    return lm_scoring.cross_entropy_difference(table(spark, sf, "documents"), good)
+    return word_lm.cross_entropy_difference(table(spark, sf, "documents"), good)
 
 
 @query
