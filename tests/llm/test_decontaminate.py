@@ -78,6 +78,46 @@ def test_equals_all_windows(spark):
     assert sorted(d for d in left if d[0] == 100) == sorted(d for d in docs if d[0] == 100 and not plain([d], items))
 
 
+def shortened(text, item, limit=0.8):
+    """(start, end, similarity) of a text with fewer words than the item, as a whole."""
+    found, other = list(re.finditer(r"\w+", text)), re.findall(r"\w+", item.lower())
+    words = [m.group().lower() for m in found]
+    if not words or len(words) >= len(other):
+        return None
+    a, b = (Counter(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))) for w in (words, other))
+    both, every = (sum(len("".join(s)) * pick(a[s], b[s]) for s in a.keys() | b.keys()) for pick in (min, max))
+    return (found[0].start(), found[-1].end(), both / every) if both / every >= limit else None
+
+
+def test_texts_shorter_than_the_item():
+    rng = random.Random(8)
+    letters = "abcdefghijklmnop"
+    items = [(i, " ".join("".join(rng.choices(letters, k=rng.randint(1, 9))) for _ in range(size))) for i, size in enumerate([1, 3, 4, 5, 6, 7, 9, 12, 20, 33, 59, 59, 120])]
+    items.append((90, "word " * 30))
+    benchmark, hits = Benchmark(items), 0
+    first = items[10][1].split()
+    assert [m[0] for m in benchmark.search(" ".join(first[:55]))] == [10]
+    for _, text in items:
+        words = text.split()
+        for left in range(max(0, len(words) - 30), len(words)):
+            begin = rng.randint(0, len(words) - left)
+            doc = f" ({', '.join(words[begin:begin + left]).title()}."
+            got = {m[0]: m[1:4] for m in benchmark.search(doc) if len(re.findall(r"\w+", dict(items)[m[0]])) > left}
+            want = {i: found for i, t in items if (found := shortened(doc, t))}
+            assert got == want
+            hits += len(want)
+    assert hits > 40
+
+
+def test_a_shortened_item_goes(spark):
+    item = " ".join(f"word{i}" for i in range(59))
+    rows = [(1, " ".join(item.split()[:55])), (2, " ".join(item.split()[:40])), (3, "own words of this text only")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    asked = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert [(r.doc_id, r.item_id, r.start, r.end) for r in decontaminate.find_items(docs, asked).collect()] == [(1, 7, 0, len(rows[0][1]))]
+    assert sorted(r.doc_id for r in decontaminate.drop_contaminated(docs, asked).collect()) == [2, 3]
+
+
 def test_a_very_long_text(spark):
     long_text = "lorem ipsum " * 200_000 + "the quick brown fox jumps over the lazy dog " + "dolor sit " * 100_000
     items = [(1, "quick brown fox jumps over the lazy"), (2, "not in there at all today")]

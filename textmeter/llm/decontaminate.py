@@ -104,12 +104,15 @@ class Benchmark:
         for n, found in sizes_of.items():
             self.keys[n] = np.array(sorted(found), "u8"), [found[k] for k in sorted(found)]
         self.by_size: dict[int, tuple[list[int], HammingIndex]] = {}
+        #: The weight of the lightest item of each size.
+        self.lightest: dict[int, int] = {}
         sizes: dict[int, list[int]] = {}
         for at, (_, words, _) in enumerate(self.items):
             sizes.setdefault(len(words), []).append(at)
         for size, at in sizes.items():
             prints = packed(np.stack([self._sums(self.items[i][2].elements()) for i in at]))
             self.by_size[size] = at, HammingIndex(prints, radius)
+            self.lightest[size] = min(sum(map(self.weight, self.items[i][2].elements())) for i in at)
 
     @staticmethod
     def _key(numbers) -> int:
@@ -154,8 +157,6 @@ class Benchmark:
     def windows(anchors: list[int], size: int, words: int) -> np.ndarray:
         """First words of all windows of a size that hold an anchor."""
         n, at = min(size, WIDTH), np.array(anchors)
-        if words < size:
-            return np.zeros(0, "i8")
         mark = np.zeros(words + 2, "i8")
         np.add.at(mark, np.maximum(at - (size - n), 0), 1)
         np.add.at(mark, np.minimum(at, words - size) + 1, -1)
@@ -166,25 +167,31 @@ class Benchmark:
 
         All windows of an item's size are compared, except those without a
         shingle of any item of that size: their similarity to these items is
-        zero. SimHash proposes, the shingles decide. Among equal windows the
-        first one counts.
+        zero. A text of fewer words than the item is its one window, unless it
+        weighs too little for the similarity. SimHash proposes, the shingles
+        decide. Among equal windows the first one counts.
         """
         anchors = self.anchors(list(map(str.lower, WORD.findall(text))))
         if not anchors:
             return
         words, places = words_of(text)
         bits = functools.cache(lambda s: self.weight(s) * shingle_bits(s))
+        whole = sum(map(self.weight, shingles(words)))
         for size in sorted(anchors):
+            # What is shared weighs no more than the text, and all together no less than the item.
+            if len(words) < size and whole / self.lightest[size] < self.similarity:
+                continue
             items, index = self.by_size[size]
-            starts = self.windows(anchors[size], size, len(words))
+            span = min(size, len(words))
+            starts = self.windows(anchors[size], span, len(words))
             n = min(size, WIDTH)
             best: dict[int, tuple] = {}
             # Stretches of adjacent windows share their sums.
             for stretch in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1) if len(starts) else ():
                 first, last = int(stretch[0]), int(stretch[-1])
-                each = [tuple(words[i:i + n]) for i in range(first, last + size - n + 1)]
+                each = [tuple(words[i:i + n]) for i in range(first, last + span - n + 1)]
                 total = np.concatenate((np.zeros((1, BITS), "i8"), np.cumsum([bits(s) for s in each], axis=0)))
-                held = size - n + 1
+                held = span - n + 1
                 prints = packed(total[held:] - total[:-held])
                 for window, at in zip(*index.near(prints)):
                     item = items[at]
@@ -195,7 +202,7 @@ class Benchmark:
                         rank = (-similarity, first + int(window))
                         best[item] = min(best.get(item, (rank, far)), (rank, far))
             for item, ((similarity, start), far) in best.items():
-                yield self.items[item][0], places[start][0], places[start + size - 1][1], -similarity, far
+                yield self.items[item][0], places[start][0], places[start + span - 1][1], -similarity, far
 
 
 MATCH = "item_id long, start int, end int, similarity double, distance int"
@@ -207,7 +214,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
 
     Words are runs of letters, digits and underscores in lower case; shingles
     have five words (an item with fewer is one shingle). A window has as many
-    words as the item. Its fingerprint may differ from the item's in ``radius``
+    words as the item; a text with fewer is one window. Its fingerprint may differ from the item's in ``radius``
     bits, which a multi-index finds without exception; then the similarity of
     weighted shingles must reach ``similarity``. Offsets are characters.
 
