@@ -21,7 +21,7 @@ def compare(spark, con, name, folder):
 @pytest.mark.parametrize("name", sorted(oracles.ORACLES))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     compare(spark, con, name, SF)
 

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from textmeter.session import fresh_path, remove
 
@@ -26,6 +30,41 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Bytes of texts that are worked on before the results made of them leave the worker.
+TEXT_BYTES = 4 << 20
+
+
+def derive(docs: DataFrame, text: str, fields: StructType, types: list[pa.DataType], make: Callable[[str], tuple]) -> DataFrame:
+    """``docs`` without its text column, with the columns ``fields`` that ``make`` returns for each text.
+
+    ``types`` are their Arrow types. A null text counts as empty. Columns named
+    like an added one are replaced; the others pass through as they are.
+    """
+    names = [f.name for f in fields]
+    kept = [f for f in docs.schema.fields if f.name not in (text, *names)]
+    read = docs.select(*(F.col(f"`{f.name}`") for f in kept), F.coalesce(F.col(text), F.lit("")).alias("__text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def part(batch, first, rows):
+            made = [pa.array(column, t) for column, t in zip(zip(*rows), types)]
+            held = [batch.column(i).slice(first, len(rows)) for i in range(len(kept))]
+            return pa.RecordBatch.from_arrays(held + made, [f.name for f in kept] + names)
+
+        for batch in batches:
+            texts, rows, first, size = batch.column(len(kept)), [], 0, 0
+            for at, given in enumerate(texts):
+                value = given.as_py()
+                rows.append(make(value))
+                size += len(value)
+                if size >= TEXT_BYTES:
+                    yield part(batch, first, rows)
+                    rows, first, size = [], at + 1, 0
+            if rows:
+                yield part(batch, first, rows)
+
+    return read.mapInArrow(run, StructType(kept + list(fields)))
+
+
 def _state(pairs: DataFrame) -> tuple:
     # Sums of hashes as decimals: no overflow, and independent of the order of rows.
     row = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

@@ -101,3 +101,25 @@ read AS (SELECT page_id, coalesce({_host('url')}, '') AS host, coalesce({_path('
 SELECT page_id, host, path, {_rule('host', 'path', 'name')} AS rule,
     coalesce({_rule('host', 'path', 'action')}, CASE WHEN blocked AND NOT allowed THEN 'block' ELSE 'allow' END) AS verdict, alias_of
 FROM read LEFT JOIN groups ON node = address"""
+
+
+# --- ranked search -----------------------------------------------------------
+
+def _terms(text: str) -> str:
+    # RE2 reads characters: what is beyond ASCII is a term's, as are its letters and digits.
+    return rf"regexp_extract_all(translate(coalesce({text}, ''), {_UPPER}, {_LOWER}), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')"
+
+
+ORACLES["op13_presence_masks"] = f"""WITH docs AS (SELECT doc_id, row_number() OVER () AS r, {_terms('text')} AS terms FROM documents),
+asked AS (SELECT i, item_id, unnest(list_distinct(terms)) AS term FROM
+    (SELECT item_id, row_number() OVER () AS i, {_terms('text')} AS terms FROM benchmark)),
+corpus AS (SELECT count(*) AS docs, CAST(sum(len(terms)) AS BIGINT) AS words FROM docs WHERE len(terms) > 0),
+held AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM docs)
+    WHERE term IN (SELECT term FROM asked) GROUP BY r, term),
+weights AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(c.docs) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+    FROM held, corpus c GROUP BY term),
+mass AS (SELECT r, doc_id, 100 - 50 + ((50 * len(terms) * c.docs) // c.words) AS m FROM docs, corpus c WHERE len(terms) > 0),
+scores AS (SELECT i, item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+    FROM asked JOIN weights USING (term) JOIN held USING (term) JOIN mass USING (r) GROUP BY i, item_id, r, doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 50"""
