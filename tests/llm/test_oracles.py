@@ -35,6 +35,8 @@ HARD_PAGES = [
 HARD_TEXTS = [
     (1, "one two three four five\n\nshort\nOne, two three four FIVE!", "a"), (2, None, None), (3, "", "a"), (5, "\n", "b"),
     (4, "é ü one two three\none two three four five\n", "a"), (6, "É Ü one two three\nown words here and there", None),
+    (7, "In front. A passage of six words here! Behind it.\n--", "a"), (8, "Some. a passage of six words here? other\nshort", "a"),
+    (9, "!! a passage of six words here.\none two three four five. A passage of six words here.\n\nend. of it", "b"),
 ]
 
 

@@ -18,38 +18,75 @@ LINE = re.compile(r"[^\n]+")
 PARAGRAPH = re.compile(r"[^\n]+(?:\n[^\n]+)*")
 UNITS = {"line": LINE, "paragraph": PARAGRAPH}
 WORD = re.compile(r"\w+")
+#: What ends a sentence, and stays with it.
+SENTENCE = re.compile(r"[^.!?…。！？]*[.!?…。！？]+|[^.!?…。！？]+")
 #: Units with fewer words are left alone: they recur in unrelated texts.
 MIN_WORDS = 5
 UNIT_ROWS = 1 << 16
 
 
-def units(text: str, unit: str = "line", min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, bytes]]:
-    """(start, end, digest) of each unit. Case, punctuation and spacing don't count in the digest."""
+def digest(words: list[str]) -> bytes:
+    """Of the words in lower case: case, punctuation and spacing don't count."""
+    return blake2b(" ".join(words).lower().encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
+def units(text: str, unit: str = "line", min_words: int = MIN_WORDS, sentence_words: int | None = None) -> Iterator[tuple[int, int, bytes]]:
+    """(start, end, digest) of each unit of ``min_words`` words or more.
+
+    With ``sentence_words``, a unit's sentences of so many words are units, too,
+    unless the sentence has all the words of the unit.
+    """
     for m in UNITS[unit].finditer(text):
-        words = WORD.findall(m.group())
+        whole = m.group()
+        words = WORD.findall(whole)
         if len(words) >= min_words:
-            yield m.start(), m.end(), blake2b(" ".join(words).lower().encode("utf-8", "surrogatepass"), digest_size=16).digest()
+            yield m.start(), m.end(), digest(words)
+        if sentence_words and len(words) > sentence_words:
+            for part in SENTENCE.finditer(whole):
+                held = WORD.findall(part.group())
+                if sentence_words <= len(held) < len(words):
+                    yield m.start() + part.start(), m.start() + part.end(), digest(held)
+
+
+def outermost(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans that lie in no other one, ascending; of units only a sentence can lie in another."""
+    kept: list[tuple[int, int]] = []
+    for start, end in sorted(spans, key=lambda s: (s[0], -s[1])):
+        if not kept or end > kept[-1][1]:
+            kept.append((start, end))
+    return kept
 
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:
-    """The text without the spans (ascending), each with the line break after it, or before it at the end."""
-    kept, at = [], 0
+    """The text without the spans (ascending, apart).
+
+    What is a whole line, or several, goes with the line break after it, or the
+    one before it at the end.
+    """
+    joined: list[list[int]] = []
     for start, end in spans:
+        if joined and joined[-1][1] == start:
+            joined[-1][1] = end
+        else:
+            joined.append([start, end])
+    kept, at, whole = [], 0, False
+    for start, end in joined:
         kept.append(text[at:start])
-        at = end + 1 if text[end:end + 1] == "\n" else end
+        whole = (start == 0 or text[start - 1] == "\n") and text[end:end + 1] in ("", "\n")
+        at = end + 1 if whole and end < len(text) else end
     kept.append(text[at:])
     left = "".join(kept)
-    return left.removesuffix("\n") if spans and spans[-1][1] == len(text) else left
+    return left.removesuffix("\n") if whole and joined[-1][1] == len(text) else left
 
 
-def unit_table(rows: DataFrame, unit: str, min_words: int) -> DataFrame:
+def unit_table(rows: DataFrame, unit: str, min_words: int, sentence_words: int | None = None) -> DataFrame:
     """(key, text_hash, start, end, high, low) of each unit of rows (key, text_hash, text)."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, hashes, spans, digests = [], [], [], []
             for key, text_hash, text in zip(*(batch.column(i).to_pylist() for i in range(2)), batch.column(2)):
-                for start, end, digest in units(text.as_py(), unit, min_words):
+                for start, end, digest in units(text.as_py(), unit, min_words, sentence_words):
                     keys.append(key), hashes.append(text_hash), spans.append((start, end)), digests.append(digest)
                 if len(keys) >= UNIT_ROWS:
                     yield pack(keys, hashes, spans, digests)
@@ -65,7 +102,7 @@ def unit_table(rows: DataFrame, unit: str, min_words: int) -> DataFrame:
     return rows.mapInArrow(explode, "key long, text_hash long, start int, end int, high long, low long")
 
 
-def repeated_units(rows: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_units(rows: DataFrame, unit: str = "line", min_words: int = MIN_WORDS, sentence_words: int | None = None) -> DataFrame:
     """(key, text_hash, spans): in each text, the units that occur earlier in the corpus.
 
     Occurrences are ranked by key, text hash and offset. A unit's first
@@ -73,7 +110,7 @@ def repeated_units(rows: DataFrame, unit: str = "line", min_words: int = MIN_WOR
     hold is no group anywhere; only units that do recur are joined back, and
     that join is one adaptive execution can split.
     """
-    found, _ = store(unit_table(rows, unit, min_words), "units")
+    found, _ = store(unit_table(rows, unit, min_words, sentence_words), "units")
     rank = F.struct("key", "text_hash", "start")
     # Written, so that the join below is a plain one: a frequent line's rows can be split.
     first, _ = store(
@@ -87,11 +124,15 @@ def repeated_units(rows: DataFrame, unit: str = "line", min_words: int = MIN_WOR
     return later.groupBy("key", "text_hash").agg(spans.alias("spans"))
 
 
-def drop_repeated_units(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_repeated_units(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS, key: str = "doc_id", text: str = "text",
+                        sentence_words: int | None = None) -> DataFrame:
     """``docs`` with each text cut, and ``removed``: array of (start, end), offsets in characters of the original text.
 
     Units are lines, or paragraphs between empty lines. They are compared whole
     by their words, in lower case; those of fewer than ``min_words`` words stay.
+    With ``sentence_words``, sentences of so many words inside a unit are compared
+    as well: a passage inside a longer line goes, but for the sentences that it
+    shares with the text around it.
     The occurrence in the row with the smallest key stays (then the smallest text
     hash, then the smallest offset), also within one text; all others go. What is
     left of a text, and where it came from, follows from ``removed``.
@@ -103,19 +144,20 @@ def drop_repeated_units(docs: DataFrame, unit: str = "line", min_words: int = MI
     """
     rows = docs.withColumn("__key", ranked_id(F.col(key))).withColumn("__hash", F.xxhash64(F.coalesce(text, F.lit(""))))
     given = rows.filter(F.col(text) != "").select("__key", "__hash", text)
-    spans = repeated_units(given, unit, min_words).select(
+    spans = repeated_units(given, unit, min_words, sentence_words).select(
         F.col("key").alias("__key"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans")
     )
 
-    @F.pandas_udf("string")
-    def without(texts, spans):
-        return pd.Series([t if s is None or t is None else cut(t, [(x["start"], x["end"]) for x in s]) for t, s in zip(texts, spans)])
+    @F.pandas_udf("left string, removed array<struct<start:int,end:int>>")
+    def without(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
+        removed = [outermost([(x["start"], x["end"]) for x in s]) if s is not None else [] for s in spans]
+        left = [cut(t, r) if r else t for t, r in zip(texts, removed)]
+        return pd.DataFrame({"left": left, "removed": [[{"start": a, "end": b} for a, b in r] for r in removed]})
 
-    none = F.array().cast("array<struct<start:int,end:int>>")
     # The narrow side is hashed, so texts are shuffled once and not sorted.
     joined = rows.join(spans.hint("shuffle_hash"), ["__key", "__hash"], "left").drop("__key", "__hash")
-    joined = joined.withColumn(text, without(F.col(text), F.col("__spans")))
-    return joined.withColumn("removed", F.coalesce("__spans", none)).drop("__spans")
+    joined = joined.withColumn("__cut", without(F.col(text), F.col("__spans"))).drop("__spans")
+    return joined.withColumn(text, F.col("__cut.left")).withColumn("removed", F.col("__cut.removed")).drop("__cut")
 
 
 def kept_spans(length: int, removed: list[tuple[int, int]]) -> list[tuple[int, int]]:

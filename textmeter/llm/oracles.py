@@ -34,17 +34,27 @@ SELECT doc_id, size, text_crc32, 'rows' AS law, CAST((p * 40) // n AS INTEGER) A
 
 # --- lines -------------------------------------------------------------------
 
-ORACLES["op4_line_dedup"] = r"""WITH split AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+_SENTENCE = "'[^.!?…。！？]*[.!?…。！？]+|[^.!?…。！？]+'"
+_WORDS = r"'[\p{L}\p{N}_]+'"
+ORACLES["op4_line_dedup"] = rf"""WITH split AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
 lines AS (SELECT doc_id, unnest(lines) AS line, unnest(generate_series(1, len(lines))) AS i FROM split),
-placed AS (SELECT *, regexp_extract_all(line, '[\p{L}\p{N}_]+') AS words,
-    sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(line) - 1 AS start FROM lines),
-judged AS (SELECT *, len(words) >= 5 AND row_number() OVER (
-    PARTITION BY len(words) >= 5, lower(array_to_string(words, ' ')) ORDER BY doc_id, start) > 1 AS again FROM placed),
-joined AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT again), '') AS text,
-    coalesce(string_agg(CAST(start AS BIGINT) || '-' || CAST(start + length(line) AS BIGINT), ',' ORDER BY i) FILTER (again), '') AS removed
-    FROM judged GROUP BY doc_id)
-SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN j.text END AS text, coalesce(j.removed, '') AS removed
-FROM documents d LEFT JOIN joined j USING (doc_id)"""
+placed AS (SELECT *, regexp_extract_all(line, {_WORDS}) AS words, regexp_extract_all(line, {_SENTENCE}) AS parts,
+    CAST(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(line) - 1 AS BIGINT) AS start FROM lines),
+cut AS (SELECT doc_id, i, len(words) AS n, start AS line_start, unnest(parts) AS part, unnest(generate_series(1, len(parts))) AS j FROM placed),
+sentences AS (SELECT doc_id, i, j, n, part, regexp_extract_all(part, {_WORDS}) AS words,
+    CAST(line_start + sum(length(part)) OVER (PARTITION BY doc_id, i ORDER BY j) - length(part) AS BIGINT) AS start FROM cut),
+units AS (SELECT doc_id, i, 0 AS j, start, start + length(line) AS stop, lower(array_to_string(words, ' ')) AS unit, len(words) >= 1 AS counts FROM placed
+    UNION ALL SELECT doc_id, i, j, start, start + length(part), lower(array_to_string(words, ' ')), len(words) >= 5 AND len(words) < n FROM sentences),
+judged AS (SELECT *, counts AND rank() OVER (PARTITION BY counts, unit ORDER BY doc_id, start) > 1 AS again FROM units),
+lost AS (SELECT *, again AND (j = 0 OR NOT max(CASE WHEN j = 0 THEN again END) OVER (PARTITION BY doc_id, i)) AS goes,
+    max(CASE WHEN j = 0 THEN again END) OVER (PARTITION BY doc_id, i) AS line_goes FROM judged),
+pieces AS (SELECT l.doc_id, l.i, l.line_goes OR (count(*) FILTER (l.j > 0) > 0 AND bool_and(l.goes) FILTER (l.j > 0)) AS gone,
+    coalesce(string_agg(s.part, '' ORDER BY l.j) FILTER (NOT l.goes), '') AS line
+    FROM lost l LEFT JOIN sentences s ON l.doc_id = s.doc_id AND l.i = s.i AND l.j = s.j GROUP BY l.doc_id, l.i, l.line_goes),
+joined AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone) AS text FROM pieces GROUP BY doc_id),
+spans AS (SELECT doc_id, string_agg(start || '-' || stop, ',' ORDER BY start) AS removed FROM lost WHERE goes GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(j.text, '') END AS text, coalesce(p.removed, '') AS removed
+FROM documents d LEFT JOIN joined j USING (doc_id) LEFT JOIN spans p USING (doc_id)"""
 
 
 # --- urls --------------------------------------------------------------------

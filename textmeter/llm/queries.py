@@ -37,7 +37,7 @@ def op3_stratified_shards(spark, sf):
 @query
 def op4_line_dedup(spark, sf):
     """``removed``: offsets of what was cut, as 'start-end' joined by commas."""
-    cut = line_dedup.drop_repeated_units(table(spark, sf, "documents"))
+    cut = line_dedup.drop_repeated_units(table(spark, sf, "documents"), min_words=1, sentence_words=5)
     spans = F.transform("removed", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string")))
     return cut.select("doc_id", "text", F.array_join(spans, ",").alias("removed"))
 
