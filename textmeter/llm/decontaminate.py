@@ -21,6 +21,8 @@ SIMILARITY = 0.8
 BITS = 64
 #: Fingerprints of windows and items may differ in so many bits; see ``test_radius``.
 RADIUS = 23
+#: Windows whose bit sums are held at a time.
+BLOCK = 1 << 12
 #: Bytes of benchmark text that one broadcast holds; a larger benchmark is searched in parts.
 PART_BYTES = 16 << 20
 
@@ -68,17 +70,18 @@ class HammingIndex:
 
     def near(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(query, fingerprint) positions of all pairs within the radius, each once."""
-        found = np.zeros((len(queries), len(self.prints)), bool)
+        found = []
         for (shift, mask), (order, held) in zip(self.blocks, self.tables):
             values = (queries >> shift) & mask
             first = np.searchsorted(held, values, "left")
             n = np.searchsorted(held, values, "right") - first
             query = np.repeat(np.arange(len(queries)), n)
             place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
-            found[query, order[place]] = True
-        query, item = np.nonzero(found)
-        close = np.bitwise_count(queries[query] ^ self.prints[item]) <= self.radius
-        return query[close], item[close]
+            item = order[place]
+            close = np.bitwise_count(queries[query] ^ self.prints[item]) <= self.radius
+            found.append(query[close] * len(self.prints) + item[close])
+        pair = np.unique(np.concatenate(found))
+        return pair // len(self.prints), pair % len(self.prints)
 
 
 class Benchmark:
@@ -186,8 +189,9 @@ class Benchmark:
             starts = self.windows(anchors[size], span, len(words))
             n = min(size, WIDTH)
             best: dict[int, tuple] = {}
-            # Stretches of adjacent windows share their sums.
-            for stretch in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1) if len(starts) else ():
+            # Stretches of adjacent windows share their sums; a long one is taken in blocks.
+            cuts = np.flatnonzero((np.diff(starts) > 1) | (np.arange(1, len(starts)) % BLOCK == 0)) + 1
+            for stretch in np.split(starts, cuts) if len(starts) else ():
                 first, last = int(stretch[0]), int(stretch[-1])
                 each = [tuple(words[i:i + n]) for i in range(first, last + span - n + 1)]
                 total = np.concatenate((np.zeros((1, BITS), "i8"), np.cumsum([bits(s) for s in each], axis=0)))
