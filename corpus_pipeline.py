@@ -2,40 +2,59 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textmeter.llm import bpe, decontaminate, language, line_dedup, simhash
 from textmeter.llm.common import store, table
 
+#: Rows of an Arrow batch: texts may be long, and executor and worker each hold whole batches.
+BATCH_ROWS = 1000
+
 #: SQL has neither XXH64 nor learned models nor BPE; the stages are tested one by one instead.
 ORACLE_SQL = None
 
 
+def _small_batches(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        return stage(spark, docs, sf_dir)
+    return run
+
+
+@_small_batches
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language: those without any letter are rejected."""
     found = language.identify(docs, language.learn(docs))
     return found.filter(F.col("lang_pred") != language.UNKNOWN).select(docs.columns)
 
 
+@_small_batches
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash class: three-word shingles, two bits."""
     return simhash.representatives(docs, width=3, distance=2).select(docs.columns)
 
 
+@_small_batches
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines an earlier document has, short ones too; texts of which nothing is left go."""
-    cut = line_dedup.drop_repeated_units(docs, min_words=1)
+    """Texts without the lines, and the sentences of five words, that an earlier document has; texts of which nothing is left go."""
+    cut = line_dedup.drop_repeated_units(docs, min_words=1, sentence_words=5)
     emptied = (F.size("removed") > 0) & (F.trim("text") == "")
     length = F.when(F.size("removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
     return cut.filter(~F.coalesce(emptied, F.lit(False))).withColumn("n_chars", length.cast("long")).select(docs.columns)
 
 
+@_small_batches
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no item of the benchmark."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark")).select(docs.columns)
 
 
+@_small_batches
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each text, and whether decoding them gives its bytes back."""
     tokenizer = bpe.tokenizer_json(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
