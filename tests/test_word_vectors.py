@@ -1,0 +1,94 @@
+"""CBOW over a vocabulary table."""
+
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from textmeter.operators import features as V, word_vectors as W
+
+
+def topical(n=3000, seed=1):
+    """Texts about one of four topics; 'left' and 'right' stand for the same word of the first."""
+    rng = random.Random(seed)
+    topics = [[f"{t}{i}" for i in range(10)] for t in "abcd"]
+    rows = []
+    for i in range(n):
+        words = [rng.choice(topics[i % 4]) for _ in range(12)]
+        rows.append((i, [rng.choice(["left", "right"]) if w == "a0" else w for w in words]))
+    return rows
+
+
+SCHEMA = "id long, tokens array<string>"
+
+
+def test_synonyms_are_neighbours(spark, monkeypatch):
+    # Several parts, several buckets, and parts of one word averaged in groups first.
+    monkeypatch.setattr(W, "LEAST_WORDS", 12_000)
+    monkeypatch.setattr(W, "BUCKET_WORDS", 16)
+    monkeypatch.setattr(W, "SALTS", 2)
+    rows = topical()
+    model = W.fit_cbow(spark.createDataFrame(rows, SCHEMA), dim=16, epochs=10)
+    near = [r.word for r in model.nearest("left", 10).collect()]
+    assert set(near) == {"right"} | {f"a{i}" for i in range(1, 10)}
+    counts = Counter(w for _, t in rows for w in t)
+    assert {r.word: r.n for r in model.table.collect()} == counts
+
+
+def test_equal_runs_and_odd_tokens(spark):
+    rows = [(1, ["x", "y", None, "x", "y", "once"]), (2, None), (3, []), (None, ["y", "x"]), (None, [None])]
+    df = spark.createDataFrame(rows, SCHEMA)
+    runs = [{r.word: r.vector for r in W.fit_cbow(df, dim=5, epochs=2).table.collect()} for _ in range(2)]
+    assert runs[0] == runs[1] and set(runs[0]) == {"x", "y"} and all(len(v) == 5 for v in runs[0].values())
+    assert W.fit_cbow(df.limit(0), dim=5, epochs=2).table.collect() == []
+    assert W.fit_cbow(df.filter("id = 3"), dim=5, epochs=1).table.collect() == []
+
+
+def test_steps_of_one_row_are_added():
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        at, steps = rng.integers(0, 9, 30), rng.random((30, 3))
+        got, want = np.zeros((9, 3)), np.zeros((9, 3))
+        W._add(got, at, steps)
+        np.add.at(want, at, steps)
+        assert got == pytest.approx(want)
+
+
+def test_one_step_follows_the_gradient():
+    import pyarrow as pa
+    dim, words = 4, ["a", "b", "c"]
+    rng = np.random.default_rng(2)
+    both = rng.normal(size=(3, 2 * dim)).astype("f4")
+    table = W._table(pa.array(words), pa.array([1, 1, 1]), pa.array([1, 1, 1]), both)
+    part = W._Part(pa.table({"tokens": pa.array([["a", "b", "c"], ["c"]])}), table, dim)
+
+    def loss(v):
+        # Predict b from the mean of a and c, against c.
+        mean = (v[0, :dim] + v[2, :dim]) / 2
+        return np.log1p(np.exp(-mean @ v[1, dim:])) + np.log1p(np.exp(mean @ v[2, dim:]))
+
+    before = both.astype("f8")
+    part.step(part.word, part.text, 1, 2, np.array([5]), np.array([[2]]), 0.01)
+    slope = np.zeros_like(before)
+    for i in np.ndindex(before.shape):
+        up, down = before.copy(), before.copy()
+        up[i] += 1e-4
+        down[i] -= 1e-4
+        slope[i] = (loss(up) - loss(down)) / 2e-4
+    moved = np.concatenate((part.context, part.target), axis=1) - both
+    # The step goes to each context word whole, not in its share of the mean.
+    slope[:, :dim] *= 2
+    assert moved == pytest.approx(-0.01 * slope, abs=1e-4)
+
+
+def test_rows_without_their_own_id_keep_their_vectors(spark, table):
+    vectors = table([("a", [1.0, 2.0]), ("b", [3.0, 4.0])], "word string, vector array<double>")
+    rows = [(None, ["a"]), (None, ["b"]), (2, ["a", "b"]), (2, ["b"]), (3, None)]
+    df = table(rows, SCHEMA)
+    want = sorted([(None, [1.0, 2.0]), (None, [3.0, 4.0]), (2, [2.0, 3.0]), (2, [3.0, 4.0]), (3, [0.0, 0.0])], key=repr)
+    assert sorted(((r.id, r.mean) for r in V.mean_vectors(df, vectors).collect()), key=repr) == want
+    model = W.WordVectors(vectors, 2)
+    got = V.word2vec_vectors(df, model)
+    assert got.columns == ["id", "tokens", "word2vec"]
+    assert sorted(((r.id, list(r.word2vec)) for r in got.collect()), key=repr) == want

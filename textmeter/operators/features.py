@@ -12,7 +12,7 @@ import math
 from dataclasses import dataclass
 
 from pyspark.ml.feature import (
-    CountVectorizerModel, ElementwiseProduct, Normalizer, VectorAssembler, Word2Vec, Word2VecModel,
+    CountVectorizerModel, ElementwiseProduct, Normalizer, VectorAssembler,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import DenseVector, VectorUDT
@@ -23,6 +23,7 @@ from textmeter import resources as R
 from textmeter.functions import text as X
 from textmeter.operators.lexicon import lexicon_scores
 from textmeter.operators.lookup import fits_broadcast, join_words
+from textmeter.operators.word_vectors import WordVectors, fit_cbow
 from textmeter.session import materialize
 
 
@@ -185,55 +186,66 @@ def top_weighted_terms(df: DataFrame, vector: str, model: TermModel, k: int = 10
 
 
 def fit_word2vec(train: DataFrame, dim: int = R.WORD2VEC_DIM, window: int = R.WORD2VEC_WINDOW, min_count: int = 2,
-                 epochs: int = R.WORD2VEC_EPOCHS, seed: int = R.SEED, tokens: str = "tokens",
-                 partitions: int | None = None) -> Word2VecModel:
-    """Word vectors of the training tokens (skip-gram).
-
-    ``partitions`` shards are trained side by side and averaged, by default as
-    many as the session runs tasks at once. One limit is Spark's own: its fit
-    keeps the vocabulary and its vectors on the driver and fails, with an error,
-    beyond 2^31 / 8 numbers; raise ``min_count`` then.
+                 epochs: int = R.WORD2VEC_EPOCHS, seed: int = R.SEED, tokens: str = "tokens") -> WordVectors:
+    """Word vectors of the training tokens (``word_vectors.fit_cbow``)."""
+    return fit_cbow(train, dim, window, min_count, epochs, seed, tokens)
+
+
+def numbered(df: DataFrame, name: str = "numbered") -> DataFrame:
+    """The table, written, with ``_row``: a number of its own for each row.
+
+    What is worked out per row and joined back goes by this number, so rows
+    without an id, or with the same one, stay apart and none is lost.
     """
-    partitions = partitions or train.sparkSession.sparkContext.defaultParallelism
-    learner = Word2Vec(
-        vectorSize=dim, windowSize=window, minCount=min_count, maxIter=epochs, seed=seed,
-        numPartitions=partitions, inputCol=tokens, outputCol="_w2v",
-    )
-    return learner.fit(train.select(tokens))
+    return materialize(df.withColumn("_row", F.monotonically_increasing_id()), name)
 
 
-def word2vec_vectors(df: DataFrame, model: Word2VecModel, tokens: str = "tokens", id_col: str = "id",
-                     out: str = "word2vec") -> DataFrame:
-    """Add the mean vector of a text's *known* words, zero without any (the model's own transform divides by all words)."""
-    vectors = model.getVectors().select("word", vector_to_array("vector").alias("vector"))
-    means = mean_vectors(df, vectors, tokens, id_col, out)
-    return df.join(means.withColumn(out, array_to_vector(out)), id_col)
+def word2vec_vectors(df: DataFrame, model: WordVectors, tokens: str = "tokens", out: str = "word2vec") -> DataFrame:
+    """Add the mean vector of a text's *known* words, zero without any.
+
+    Every row gets its own, whatever its id; a null or empty token list has no
+    known word. The tokens are read from a written table.
+    """
+    rows = df if "_row" in df.columns else numbered(df)
+    means = _means(rows, model.getVectors().withColumnRenamed("vector", "_vec"), model.dim, tokens, "_row", out)
+    joined = rows.join(means, "_row")
+    return joined if "_row" in df.columns else joined.drop("_row")
+
+
+def _means(df: DataFrame, vectors: DataFrame, dim: int, tokens: str, by: str, out: str) -> DataFrame:
+    """(by, mean vector) of each row, ``by`` being different in all rows; vectors are (word, _vec)."""
+    # Outer, so that no size test repeats the work behind the tokens; nulls find no vector.
+    exploded = df.select(by, F.explode_outer(tokens).alias("word"))
+    found = join_words(exploded, vectors, "word", fits_broadcast(vectors), "inner")
+    means = found.groupBy(by).agg(Summarizer.mean(F.col("_vec")).alias(out))
+    zero = array_to_vector(F.array_repeat(F.lit(0.0), dim))
+    return df.select(by).join(means, by, "left").withColumn(out, F.coalesce(out, zero))
 
 
 def mean_vectors(df: DataFrame, vectors: DataFrame, tokens: str = "tokens", id_col: str = "id",
                  out: str = "mean") -> DataFrame:
     """(id, mean) as arrays, from any table ``vectors(word, vector)`` of equally long arrays.
 
-    Means are combined per text on the map side. Texts without a known word get
-    zeros; they are found by their ids alone.
+    One row for each row of ``df``, also where ids are null or repeated. Means
+    are combined per text on the map side. Texts without a known word get zeros.
     """
     dim = vectors.select(F.size("vector")).first()[0]
-    lookup = vectors.select(
-        F.col("word").alias("_word"), array_to_vector(F.col("vector").cast("array<double>")).alias("_vec")
-    )
-    # Outer, so that no size test repeats the work behind the tokens; nulls find no vector.
-    exploded = df.select(id_col, F.explode_outer(tokens).alias("_word"))
-    found = join_words(exploded, lookup, "_word", fits_broadcast(lookup), "inner")
-    means = found.groupBy(id_col).agg(Summarizer.mean(F.col("_vec")).alias("_mean"))
-    zero = array_to_vector(F.array_repeat(F.lit(0.0), dim))
-    whole = df.select(id_col).join(means, id_col, "left")
-    return whole.select(id_col, vector_to_array(F.coalesce("_mean", zero)).alias(out))
+    lookup = vectors.select("word", array_to_vector(F.col("vector").cast("array<double>")).alias("_vec"))
+    rows = numbered(df.select(id_col, tokens), "tokens")
+    means = _means(rows, lookup, dim, tokens, "_row", out)
+    return rows.select("_row", id_col).join(means, "_row").select(id_col, vector_to_array(out).alias(out))
 
 
 def hybrid_vectors(df: DataFrame, scores: DataFrame, tfidf: str = "tfidf", id_col: str = "id",
                    out: str = "hybrid") -> DataFrame:
-    """The TF-IDF vector followed by the six lexicon scores."""
-    joined = df.join(scores.select(id_col, *R.LEXICON_COLUMNS), id_col)
+    """The TF-IDF vector followed by the six lexicon scores.
+
+    ``scores`` has one row per id. Null ids match each other; a row without
+    scores gets zeros, so every row of ``df`` comes back once.
+    """
+    given = scores.select(F.col(id_col).alias("_scored"), *R.LEXICON_COLUMNS)
+    joined = df.join(given, F.col(id_col).eqNullSafe(F.col("_scored")), "left").drop("_scored")
+    joined = joined.fillna(0.0, list(R.LEXICON_COLUMNS))
     assembler = VectorAssembler(inputCols=[tfidf, *R.LEXICON_COLUMNS], outputCol=out)
     return assembler.transform(joined).drop(*R.LEXICON_COLUMNS)
 
@@ -244,26 +256,26 @@ class FeatureSets:
 
     table: DataFrame
     terms: TermModel
-    word2vec: Word2VecModel
+    word2vec: WordVectors
     columns: dict[str, str]
 
 
 def all_feature_sets(df: DataFrame, valence: DataFrame, polarity: DataFrame, max_features: int = R.MAX_FEATURES,
                      word2vec_dim: int = R.WORD2VEC_DIM, word2vec_epochs: int = R.WORD2VEC_EPOCHS,
-                     id_col: str = "id", **rules) -> FeatureSets:
+                     **rules) -> FeatureSets:
     """Four vector columns on a table with ``split``, ``review``, ``tokens`` and ``cleaned_review``.
 
     Vocabulary and word vectors are fitted on the train rows only, once each;
     TF-IDF and hybrid share the vocabulary of the bag of words. Terms are made
     once, and the four columns are written once: what reads one of them later
-    is a scan of that column.
+    is a scan of that column. Every row keeps its own features, whatever its id.
     """
-    termed = materialize(with_terms(df), "terms")
+    termed = numbered(with_terms(df), "terms")
     train = termed.filter("split = 'train'")
     model = fit_terms(train, max_features)
     embedder = fit_word2vec(train, word2vec_dim, epochs=word2vec_epochs)
     table = tfidf_vectors(count_vectors(termed, model), model).drop("terms")
-    table = word2vec_vectors(table, embedder, id_col=id_col)
-    scores = lexicon_scores(termed, valence, polarity, id_col=id_col, **rules)
-    table = materialize(hybrid_vectors(table, scores, id_col=id_col), "features")
+    table = word2vec_vectors(table, embedder)
+    scores = lexicon_scores(termed, valence, polarity, id_col="_row", **rules)
+    table = materialize(hybrid_vectors(table, scores, id_col="_row").drop("_row"), "features")
     return FeatureSets(table, model, embedder, dict(zip(R.FEATURE_SETS, ("bow", "tfidf", "word2vec", "hybrid"))))
