@@ -90,3 +90,23 @@ def test_length_is_tested_before_the_lemma(table):
     df = table([(1, "us a x")], "id long, review string")
     lemmas = table([("us", "u")], "form string, lemma string")
     assert C.clean_text(df, lemmas).first().cleaned_review == "u"
+
+
+def test_dedup_loses_no_text_and_keeps_none_twice(table):
+    rows = [(1, "a a", 0), (None, "b b", 0), (2, "a a", 0), (2, "c c", 0), (None, "b b", 1), (3, "d", 5), (3, "d", 5), (3, "d", 6), (None, None, 0), (None, None, 0), (4, None, 0)]
+    kept = Q.dedup(table(rows, "id long, review string, n int").repartition(5))
+    got = sorted(((r.id, r.review) for r in kept.collect()), key=repr)
+    assert got == sorted([(1, "a a"), (None, "b b"), (2, "c c"), (3, "d"), (4, None)], key=repr)
+    assert kept.columns == ["id", "review", "n"]
+
+
+def test_lemmas_of_rows_without_their_own_id(table, monkeypatch):
+    import textmeter.operators.lookup as lookup
+    rows = [(None, ["cats", "zz"]), (2, ["z"]), (2, ["cats", "cats", "z"]), (None, None), (3, []), (4, ["dogs", None, "cats"])]
+    lemmas = table([("cats", "cat"), ("dogs", "dog"), (None, "x"), ("same", "same")], "form string, lemma string")
+    want = sorted([(None, ["cat", "zz"]), (2, ["z"]), (2, ["cat", "cat", "z"]), (None, []), (3, []), (4, ["dog", "cat"])], key=repr)
+    for limit in (500_000, 1):
+        monkeypatch.setattr(lookup.fits_broadcast, "__defaults__", (limit,))
+        got = C.lemmatize(table(rows, "id long, tokens array<string>").repartition(3), lemmas)
+        assert got.columns == ["id", "tokens"]
+        assert sorted(((r.id, r.tokens) for r in got.collect()), key=repr) == want

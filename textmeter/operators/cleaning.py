@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from textmeter import resources as R
 from textmeter.functions import text as X
-from textmeter.operators.lookup import fits_broadcast, join_words
+from textmeter.operators.lookup import fits_broadcast
+from textmeter.session import materialize
 
 # Noun endings and what replaces them, in the order they are tried.
 NOUN_ENDINGS = (
@@ -18,35 +22,52 @@ NOUN_ENDINGS = (
 
 
 def clean_text(df: DataFrame, lemmas: DataFrame | None = None, stop_words: Iterable[str] = R.STOP_WORDS,
-               min_length: int = 2, keep_letters: bool = False, text: str = "review",
-               id_col: str = "id") -> DataFrame:
+               min_length: int = 2, keep_letters: bool = False, text: str = "review") -> DataFrame:
     """Add ``tokens`` and ``cleaned_review``. Without a lemma table this is a projection."""
     tokens = X.clean_tokens(F.col(text), stop_words, min_length, keep_letters)
     cleaned = df.withColumn("tokens", tokens)
     if lemmas is not None:
-        cleaned = lemmatize(cleaned, lemmas, id_col=id_col)
+        cleaned = lemmatize(cleaned, lemmas)
     return cleaned.withColumn("cleaned_review", F.array_join("tokens", " "))
 
 
-def lemmatize(df: DataFrame, lemmas: DataFrame, tokens: str = "tokens", id_col: str = "id") -> DataFrame:
+def lemmatize(df: DataFrame, lemmas: DataFrame, tokens: str = "tokens") -> DataFrame:
     """Replace each token by its lemma from ``lemmas(form, lemma)``; unknown tokens stay.
 
-    Rows are placed by id once, as whole texts. Tokens are then looked up and
-    put back together inside their partition, so no exploded token is shuffled.
+    Each row is rewritten by itself, whatever its id. A table of lemmas found
+    small enough is sent to the workers, and only the token lists pass through
+    them: nothing is shuffled. A larger one is joined with the distinct tokens of
+    each row, which is told by a number of its own, and what changes in a row is
+    put into its list. Null and empty lists come back empty, null tokens go.
     """
-    words = lemmas.groupBy(F.col("form").alias("_form")).agg(F.min("lemma").alias("_lemma"))
-    placed = df.repartition(id_col)
-    # The outer form, since the plain one adds a size test that would clean every text twice.
-    exploded = placed.select(id_col, F.posexplode_outer(tokens).alias("_pos", "_form")).filter("_form IS NOT NULL")
-    looked_up = join_words(exploded, words, "_form", fits_broadcast(words))
-    lemma = F.coalesce("_lemma", "_form")
-    pieces = F.array_sort(F.collect_list(F.struct(F.col("_pos"), lemma.alias("_token"))))
-    rebuilt = looked_up.groupBy(id_col).agg(pieces.getField("_token").alias("_tokens"))
-    return (
-        placed.join(rebuilt, id_col, "left")
-        .withColumn(tokens, F.coalesce("_tokens", F.array().cast("array<string>")))
-        .drop("_tokens")
-    )
+    words = lemmas.filter("form IS NOT NULL").groupBy(F.col("form").alias("_form")).agg(F.min("lemma").alias("_lemma"))
+    words = words.filter("_lemma <> _form")
+    given = F.filter(F.coalesce(F.col(tokens), F.array().cast("array<string>")), lambda t: t.isNotNull())
+    if fits_broadcast(words):
+        return df.withColumn(tokens, _swapped(words)(given))
+    # Written, so that the numbers stay.
+    rows = materialize(df.withColumn(tokens, given).withColumn("_row", F.monotonically_increasing_id()), "lemmas")
+    exploded = rows.select("_row", F.explode(F.array_distinct(tokens)).alias("_form"))
+    changes = exploded.join(words, "_form").groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("_form", "_lemma"))).alias("_changes"))
+    changed = F.transform(tokens, lambda t: F.coalesce(F.try_element_at("_changes", t), t))
+    whole = rows.join(changes, "_row", "left")
+    return whole.withColumn(tokens, F.when(F.col("_changes").isNull(), F.col(tokens)).otherwise(changed)).drop("_row", "_changes")
+
+
+def _swapped(words: DataFrame):
+    """A function of token lists. The table of words is known to be small."""
+    held = words.toArrow().combine_chunks()
+    shipped = words.sparkSession.sparkContext.broadcast((held.column("_form").combine_chunks(), held.column("_lemma").combine_chunks()))
+
+    @F.arrow_udf("array<string>")
+    def swap(lists: pa.Array) -> pa.Array:
+        forms, lemmas = shipped.value
+        flat = lists.flatten()
+        lemma = lemmas.take(pc.index_in(flat, value_set=forms))
+        edges = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)))).astype("i4")
+        return pa.ListArray.from_arrays(pa.array(edges), pc.coalesce(lemma, flat))
+
+    return swap
 
 
 def lemma_table(tokens: DataFrame, nouns: DataFrame, exceptions: DataFrame | None = None) -> DataFrame:

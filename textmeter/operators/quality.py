@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from textmeter import resources as R
 from textmeter.functions import text as X
@@ -59,14 +59,23 @@ def digest(text: Column) -> Column:
 
 
 def dedup(df: DataFrame, text: str = "review", id_col: str = "id") -> DataFrame:
-    """Keep the first row (smallest id) of each text; null counts as one text.
+    """Keep one row of each text, that of the smallest id; null counts as one text.
+
+    A null id comes last. Of rows with the same text and id one stays, chosen by
+    a hash of all columns. So no text is lost and none stays twice, whatever the
+    ids.
 
     Copies are reduced to one (digest, id) pair per map task before anything
     moves, so a text that makes up a third of the table is no hot spot; whole
-    rows then move once, by their unique id.
+    rows then move once, by digest and id.
     """
-    first = df.groupBy(digest(F.col(text)).alias("_digest")).agg(F.min(id_col).alias(id_col))
-    return df.join(first.select(id_col), id_col, "left_semi")
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"))
+    rows = df.withColumn("_digest", F.coalesce(digest(F.col(text)), F.lit("null"))).withColumn("_key", key)
+    first = rows.groupBy("_digest").agg(F.min("_key").alias("_key"))
+    # Placed by the join, so the window moves nothing.
+    one = F.row_number().over(W.partitionBy("_digest", "_key").orderBy(F.xxhash64(*df.columns)))
+    kept = rows.join(first, ["_digest", "_key"], "left_semi").withColumn("_one", one)
+    return kept.filter("_one = 1").select(*df.columns)
 
 
 def dedup_cleaned(df: DataFrame, id_col: str = "id") -> DataFrame:
