@@ -506,13 +506,16 @@ def _intercept_is_optimal(model, train) -> bool:
     return abs(gap) < 1e-2
 
 
-def _beats_no_weights(model, train) -> bool:
-    """SVM: mean hinge loss and penalty together are below those of zero weights, which are 1."""
-    side = 2 * F.col("sentiment") - 1
-    hinge = F.greatest(1 - side * vector_to_array("rawPrediction")[1], F.lit(0.0))
-    loss = model.transform(train).agg(F.avg(hinge)).first()[0]
-    w = model.coefficients.toArray()
-    return loss + model.getRegParam() / 2 * float(w @ w) < 1 + 1e-9
+def _hinge_is_optimal(model, train) -> bool:
+    """SVM: where the sum of loss and penalty is least, the bias and the weights follow from the rows inside the margin.
+
+    Then b = 2 * sum(y * gap) and w.w = 2 * sum(y * gap * w.x), gap = max(0, 1 - y * (w.x + b)), with C = 1.
+    """
+    side, score = 2 * F.col("sentiment") - 1, vector_to_array("rawPrediction")[1]
+    pull = side * F.greatest(1 - side * score, F.lit(0.0))
+    b, w = model.intercept, model.coefficients.toArray()
+    by_bias, by_weights = model.transform(train).agg(2 * F.sum(pull), 2 * F.sum(pull * (score - b))).first()
+    return abs(b - by_bias) < 1e-2 * (1 + abs(b)) and abs(w @ w - by_weights) < 1e-2 * (w @ w)
 
 
 def _model_query(recipe, sound=None):
@@ -530,7 +533,7 @@ def _model_query(recipe, sound=None):
 
 
 QUERIES["logistic_regression"] = _model_query(M.logistic_regression, _intercept_is_optimal)
-QUERIES["linear_svm"] = _model_query(M.linear_svm, _beats_no_weights)
+QUERIES["linear_svm"] = _model_query(M.linear_svm, _hinge_is_optimal)
 QUERIES["random_forest"] = _model_query(M.random_forest)
 
 
