@@ -1,3 +1,4 @@
+import random
 from types import SimpleNamespace
 
 import pytest
@@ -155,3 +156,41 @@ def test_building_a_role_runs_no_job(spark):
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     plan = C.reviews(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") <= 2
+
+
+@pytest.mark.parametrize("split", [64, 300, 5000])
+def test_one_file_is_read_in_ranges(spark, tmp_path, split):
+    # Line breaks, quotes and both inside texts; texts longer than a range; blank lines; Windows line ends.
+    rng = random.Random(split)
+    words = ["plain", 'a "quoted" word', "two\nlines", '"\n"', ",", "", " ", "é x", "\n\n\n", "end\r\nhere", "x" * 200, '""', "\n" * 90]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 4))), i % 2) for i in range(150)] + [(900, None, 1), (901, "", 0)]
+    def field(x):
+        return "\\N" if x is None else '"' + str(x).replace('"', '""') + '"'
+    def text(part, newline):
+        return newline.join(["id,review,sentiment", *(f"{i},{field(t)},{s}" + (newline if i % 7 == 0 else "") for i, t, s in part)]) + newline
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "a.csv").write_bytes(text(rows[:140], "\n").encode())
+    (tmp_path / "one" / "b.csv").write_bytes(text(rows[140:], "\n").encode()[:-1])
+    folder = str(tmp_path / "one")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        assert spark.read.text(f"{folder}/a.csv").rdd.getNumPartitions() > 1
+        got = T.read_csv(spark, folder).collect()
+        plain = spark.read.schema(T.REVIEWS).options(**T.CSV_OPTIONS, multiLine=True, mode="FAILFAST").csv(folder).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, plain), key=repr)
+    assert sorted(map(tuple, got), key=repr) == sorted(rows, key=repr)
+
+
+def test_windows_line_ends_and_stray_quotes(spark, tmp_path):
+    win = tmp_path / "win.csv"
+    win.write_bytes(b'id,review,sentiment\r\n1,"a\nb",0\r\n2,c,1\r\n')
+    assert sorted(map(tuple, T.read_csv(spark, str(win)).collect())) == [(1, "a\nb", 0), (2, "c", 1)]
+    stray = tmp_path / "stray.csv"
+    stray.write_text('id,review,sentiment\n1,five " inches,0\n2,c,1\n')
+    assert T.csv_records(spark, str(stray)) is None
+    assert sorted(map(tuple, T.read_csv(spark, str(stray)).collect())) == [(1, 'five " inches', 0), (2, "c", 1)]

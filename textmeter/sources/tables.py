@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import csv
+from collections.abc import Iterator
 from hashlib import sha256
 
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, SparkRuntimeException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from textmeter.operators.quality import realism_gate
 from textmeter.operators.splits import seeded_shuffle
@@ -53,6 +55,10 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType = REVIEWS) ->
     Columns are found by their names in the header, in any order; a header with
     other names is an error, and so is, when it is read, a row that does not fit.
     Where only ``id`` is missing, rows are numbered: unique, not consecutive.
+
+    A file of any size is read by many tasks, also where texts hold line breaks
+    (``csv_records``). A file with an odd number of quotes, where quotes do not
+    only enclose fields, is read by one task as before.
     """
     names = _header(spark, path)
     if names is None:
@@ -61,12 +67,95 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType = REVIEWS) ->
     if missing not in ([], ["id"]):
         raise ValueError(f"{path}: missing columns: {', '.join(missing)}")
     stored = T.StructType([schema[n] if n in schema.names else T.StructField(n, T.StringType()) for n in names])
-    rows = spark.read.schema(stored).options(**CSV_OPTIONS, multiLine=True, mode="FAILFAST").csv(path)
+    records = csv_records(spark, path)
+    if records is None:
+        rows = spark.read.schema(stored).options(**CSV_OPTIONS, multiLine=True, mode="FAILFAST").csv(path)
+    else:
+        options = {k: str(v).lower() if isinstance(v, bool) else v for k, v in CSV_OPTIONS.items() if k != "header"}
+        rows = records.select(F.from_csv("record", stored.simpleString()[len("struct<"):-1].replace(":", " "), {**options, "mode": "FAILFAST"}).alias("row")).select("row.*")
     if missing:
         rows = rows.withColumn("id", F.monotonically_increasing_id())
     return rows.select(*schema.names)
 
 
+#: Of a byte range's records: complete, continued from before, or going on behind it.
+WHOLE, HEAD, TAIL = 0, 1, 2
+
+
+def csv_records(spark: SparkSession, path: str) -> DataFrame | None:
+    """(record) of each record but the header of each file; None where quotes are odd in number.
+
+    Files are read as lines, in byte ranges as Spark splits them. Quotes are
+    counted per range; the parity of those before it says whether a range begins
+    inside a quoted field. Each range then cuts its lines at the record ends
+    outside of quotes. The ends left over, two a range at most, are put together
+    in order. Empty records are skipped, as is a carriage return at an end.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        "value", F.input_file_name().alias("file"), F.input_file_block_start().alias("first"))
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    counted = lines.groupBy("file", "first").agg(F.sum(quotes).alias("n"))
+    before = F.sum("n").over(W.partitionBy("file").orderBy("first")) - F.col("n")
+    ranges = counted.select("file", "first", (before % 2 == 1).alias("inside"), "n")
+    ranges_path = fresh_path(spark, "ranges")
+    ranges.write.parquet(ranges_path)
+    ranges = spark.read.schema(ranges.schema).parquet(ranges_path)
+    odd = ranges.groupBy("file").agg((F.sum("n") % 2).alias("odd")).filter("odd = 1").limit(1).count()
+    if odd:
+        return None
+    # One row per byte range of a file; the lines stay in their order.
+    placed = lines.join(F.broadcast(ranges.drop("n")), ["file", "first"])
+    fragments_path = fresh_path(spark, "fragments")
+    cut = placed.select("value", "file", "first", "inside").mapInArrow(_cut_records, "kind int, file string, first long, record string")
+    cut.write.partitionBy("kind").parquet(fragments_path)
+    parts = spark.read.schema("file string, first long, record string, kind int").parquet(fragments_path)
+    # A record that reaches over ranges: its beginning, and all that continues it.
+    order = W.partitionBy("file").orderBy("first", "kind")
+    ends = parts.filter(F.col("kind") != WHOLE).withColumn("number", F.sum((F.col("kind") == TAIL).cast("int")).over(order))
+    pieces = F.array_sort(F.collect_list(F.struct("first", "kind", "record")))
+    joined = ends.groupBy("file", "number").agg(F.array_join(pieces["record"], "\n").alias("record"))
+    records = parts.filter(F.col("kind") == WHOLE).select("record").unionAll(joined.select("record"))
+    return records.select(F.regexp_replace("record", "\r$", "").alias("record")).filter("record <> ''")
+
+
+def _cut_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(kind, file, first, record) of the lines (value, file, first, inside) of whole byte ranges, in order."""
+    out: list[tuple] = []
+    at, held, kind, inside = None, [], WHOLE, False
+
+    def end(last: int) -> None:
+        # The header is the record that begins a file.
+        if held and not (kind == WHOLE and at[1] == 0 and held[0][0]):
+            out.append((last, *at, "\n".join(v for _, v in held)))
+
+    for batch in batches:
+        values, files, firsts, starts = (batch.column(i).to_pylist() for i in range(4))
+        for value, file, first, start in zip(values, files, firsts, starts):
+            new = (file, first) != at
+            if new:
+                if at is not None:
+                    end(kind if kind == HEAD else TAIL if inside else WHOLE)
+                at, held, inside = (file, first), [], start
+                kind = HEAD if start else WHOLE
+            elif not inside:
+                end(kind)
+                held, kind = [], WHOLE
+            held.append((new and not start, value))
+            inside ^= value.count('"') % 2 == 1
+        if out:
+            yield _record_batch(out)
+            out.clear()
+    if at is not None:
+        end(kind if kind == HEAD else TAIL if inside else WHOLE)
+    if out:
+        yield _record_batch(out)
+
+
+def _record_batch(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.int32(), pa.string(), pa.int64(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["kind", "file", "first", "record"])
+
+
 def union_splits(*parts: DataFrame, text: str = "text", label: str = "label") -> DataFrame:
     """Stored partitions as one table of ``review`` and integer ``sentiment``."""
     renamed = [
