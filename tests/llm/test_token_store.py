@@ -14,9 +14,7 @@ FILE = public_tokenizers.path("byte_bpe_50k.json")
 
 @pytest.fixture(scope="module")
 def library():
-    t = Tokenizer.from_file(FILE)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(FILE)
 
 
 def test_perfect_hash_is_minimal():

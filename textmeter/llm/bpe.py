@@ -204,6 +204,29 @@ def encode_texts(tokenizer: str, texts: Iterable[str]) -> Iterator[bytes]:
         yield from encoder.encode(group)
 
 
+@functools.lru_cache(maxsize=2)
+def _as_given(tokenizer: str):
+    """The library's tokenizer with its own defaults, and what finds its special tokens in a text."""
+    from tokenizers import Tokenizer
+
+    special = [t["content"] for t in json.loads(tokenizer).get("added_tokens") or () if t.get("special")]
+    return Tokenizer.from_str(tokenizer), re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True))) or r"(?!)")
+
+
+def encode_with_special(tokenizer: str, texts: Iterable[str]) -> Iterator[bytes]:
+    """Ids as the library gives them by default: a special token's text is that token, not ordinary text.
+
+    Texts with such a token are rare and are encoded whole by the library; the
+    others go by pieces.
+    """
+    encoder, (library, special) = _encoder(tokenizer), _as_given(tokenizer)
+    for group in grouped(texts):
+        marked = [special.search(t) is not None for t in group]
+        plain = iter(encoder.encode([t for t, m in zip(group, marked) if not m]))
+        for text, m in zip(group, marked):
+            yield np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes() if m else next(plain)
+
+
 def decode_ids(tokenizer: str, ids: list[int]) -> bytes:
     """The bytes of the ids' tokens in a row; a character split over tokens is whole again."""
     return b"".join(map(token_bytes(tokenizer).__getitem__, ids))

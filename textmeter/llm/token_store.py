@@ -227,6 +227,7 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None =
     a key with very many rows is spread over tasks too), and encoded where they
     are written. A task holds one shard of ``SHARD_TOKENS`` ids.
 
+    The text of a special token is that token, as the library has it by default.
     A null or empty text has the end id alone. A null key ranks last. Repeated
     keys are adjacent, ordered by their texts' hash, and told apart by ``copy``.
     An empty table gives an empty manifest. Other columns are ignored.
@@ -244,7 +245,7 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None =
         writer, end = _Writer(folder, TaskContext.get().partitionId(), kind), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for k, data in zip(batch.column(0).to_pylist(), bpe.encode_texts(shipped.value, texts)):
+            for k, data in zip(batch.column(0).to_pylist(), bpe.encode_with_special(shipped.value, texts)):
                 writer.add(k, np.frombuffer(data + end, "<u4"))
                 if writer.size >= SHARD_TOKENS:
                     yield writer.close()
@@ -298,7 +299,9 @@ def checksums(manifest: DataFrame, folder: str, key: str = "doc_id") -> DataFram
         })
 
     schema = "shard string, key long, at long, n_tokens long, ids_crc32 long"
-    read = manifest.select("shard", "key", "copy").groupBy("shard").applyInPandas(sums, schema)
+    # As many tasks as shards: a number given by hand is not merged by the manifest's few bytes.
+    shards = max(1, manifest.select("shard").distinct().count())
+    read = manifest.select("shard", "key", "copy").repartition(shards, "shard").groupBy("shard").applyInPandas(sums, schema)
     null_last = F.when(F.col("key") != 2**63 - 1, F.col("key"))
     return read.join(shard_starts(manifest), "shard").select(
         null_last.alias(key), (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32"
