@@ -72,7 +72,8 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType = REVIEWS) ->
         rows = spark.read.schema(stored).options(**CSV_OPTIONS, multiLine=True, mode="FAILFAST").csv(path)
     else:
         options = {k: str(v).lower() if isinstance(v, bool) else v for k, v in CSV_OPTIONS.items() if k != "header"}
-        rows = records.select(F.from_csv("record", stored.simpleString()[len("struct<"):-1].replace(":", " "), {**options, "mode": "FAILFAST"}).alias("row")).select("row.*")
+        columns = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in stored.fields)
+        rows = records.select(F.from_csv("record", columns, {**options, "mode": "FAILFAST"}).alias("row")).select("row.*")
     if missing:
         rows = rows.withColumn("id", F.monotonically_increasing_id())
     return rows.select(*schema.names)
