@@ -14,6 +14,8 @@ from textmeter.llm.common import store
 SHARD_ROWS = 4096
 #: Queries searched together in one shard.
 QUERY_BLOCK = 2048
+#: Partitions of one shuffle; beyond it a task takes several units, one after another.
+MOST_PARTITIONS = 20_000
 #: Out-neighbours of a node.
 DEGREE = 32
 #: Relaxation of the pruning: a neighbour goes if another one is 1/ALPHA times as near to it as the node.
@@ -194,6 +196,11 @@ def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.groupBy("vec_id").agg(F.min("vector").alias("vector")).withColumn("dim", F.size("vector"))
 
 
+def _dealt(rows: DataFrame, units: int | None, *unit: str) -> DataFrame:
+    """Units of work over twice as many partitions: their number, given by hand, is not merged by the few bytes they hold."""
+    return rows.repartition(min(MOST_PARTITIONS, 2 * (units or 1)), *unit)
+
+
 def build_index(vectors: DataFrame, k: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(dim, shard, shards, node, vector, ids, near, entry): one graph per shard, one row per distinct vector.
 
@@ -210,6 +217,7 @@ def build_index(vectors: DataFrame, k: int, shard_rows: int = SHARD_ROWS) -> Dat
     # Proven bound: one row per length of vector that occurs.
     shards = F.broadcast(nodes.groupBy("dim").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards")))
     placed = nodes.join(shards, "dim").withColumn("shard", F.pmod(F.xxhash64("vector"), F.col("shards")).cast("int"))
+    placed = _dealt(placed, shards.agg(F.sum("shards")).first()[0], "dim", "shard")
 
     def graph_of(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("ids", key=lambda s: s.str[0], ignore_index=True)
@@ -271,6 +279,8 @@ def search(index: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOC
         return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
 
     unit = ["dim", "shard", "block"]
+    units = shards.join(blocks, "dim").agg(F.sum(F.col("shards") * F.col("blocks"))).first()[0]
+    held, asked = _dealt(held, units, *unit), _dealt(asked, units, *unit)
     found = held.groupBy(unit).cogroup(asked.groupBy(unit)).applyInPandas(both, "query_id long, vec_id long, score double")
     best = W.partitionBy("query_id").orderBy("score", "vec_id")
     return (
