@@ -31,6 +31,9 @@ HARD_PAGES = [
     (3, "http://o.org/d/3", '<link rel="canonical" href="//X.net/es/bad">'), (4, "http://o.org/d/4", '<link rel="canonical" href="3">'),
     (5, "HTTP://A.com/6", '<link rel="canonical" href="http://o.org/9?a&amp;b">'), (6, "http://o.org/9?a&b", None), (7, None, "canonical"),
     (8, "no scheme", '<link rel="canonical" href="/x">'), (9, "http://www.example.com/en/", ""), (10, "http://m.example.com/en/#x", "refresh"),
+    (11, "http://q.org/a/b/11", '<link rel="shortlink canonical" href="../../es/./x/.."><link rel="canonical" href="/two">'), (12, "http://q.org/es/", None),
+    (13, "http://q.org/two?a/../b", "<meta http-equiv=refresh content='0;url=../../../t/.'><meta http-equiv=refresh content='0;url=http://x.net/es/bad'>"),
+    (14, "http://q.org/t/", "<link rel='not-here' href='http://x.net/fr/'>"), (15, "http://q.org/z/../two", None), (16, "http://q.org/..", None),
 ]
 HARD_TEXTS = [
     (1, "one two three four five\n\nshort\nOne, two three four FIVE!", "a"), (2, None, None), (3, "", "a"), (5, "\n", "b"),

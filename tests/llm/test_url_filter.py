@@ -63,6 +63,18 @@ def test_links_in_pages(spark):
     assert {i for i, r in got.items() if r.verdict == "block"} == {8, 9}
 
 
+def test_every_link_counts_and_steps_are_taken(spark):
+    pages = [
+        (1, "http://o.org/a/b/1", '<link rel="alternate canonical" href="../../two/./x/.."><link rel=canonical href="/three">'),
+        (2, "http://o.org/two/", None), (3, "http://o.org/z/../three", None), (4, "http://o.org/../two", None),
+        (5, "http://o.org/q?/../two/", None),
+        (6, "http://o.org/three", "<meta http-equiv=refresh content='0;url=/six'><meta http-equiv=refresh content='9;url=http://x.net/es/bad'>"),
+        (7, "http://o.org/7", '<link rel="stylesheet" title="canonical" href="http://x.net/es/bad">' + "<p>filler</p>" * 200_000),
+    ]
+    got = judged(spark, pages)
+    assert {i for i, r in got.items() if r.verdict == "block"} == {1, 2, 3, 6}
+
+
 def test_redirect_table_against_a_plain_search(spark):
     rng = random.Random(2)
     names = [f"http://h{i}.{rng.choice(['org', 'org', 'org', 'net', 'com'])}/{rng.choice(['es', 'x'])}/p" for i in range(90)]

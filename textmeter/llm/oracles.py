@@ -85,12 +85,18 @@ def _rule(host: str, path: str, what: str) -> str:
 def _address(url: str) -> str:
     whole = f"regexp_extract({url}, '^([^#]*)', 1)"
     head = f"regexp_extract({whole}, '^[^:/?#]*://[^/?]*', 0)"
-    return f"translate({head}, {_UPPER}, {_LOWER}) || substr({whole}, length({head}) + 1)"
+    rest = f"substr({whole}, length({head}) + 1)"
+    path = f"regexp_extract({rest}, '^[^?]*', 0)"
+    steps = rf"string_split(regexp_replace({path}, '(/\.\.?)$', '\1/'), '/')[2:]"
+    taken = (f"list_reduce(list_transform({steps}, lambda s: [s]), lambda a, x: CASE WHEN x[1] = '..' THEN a[:-2] "
+             "WHEN x[1] = '.' THEN a ELSE list_concat(a, x) END, CAST([] AS VARCHAR[]))")
+    walked = f"'/' || array_to_string({taken}, '/') || substr({rest}, length({path}) + 1)"
+    return rf"translate({head}, {_UPPER}, {_LOWER}) || CASE WHEN regexp_matches({path}, '/\.\.?(/|$)') THEN {walked} ELSE {rest} END"
 
 
-_CANONICAL = r"""replace(regexp_extract(regexp_extract(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>', 0),
+_CANONICAL = r"""replace(regexp_extract(unnest(regexp_extract_all(html, '(?i)<link\b[^>]*\brel\s*=\s*(?:"[^">]*\bcanonical\b|''[^''>]*\bcanonical\b|canonical\b)[^>]*>')),
     '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1), '&amp;', '&')"""
-_REFRESH = r"""replace(regexp_extract(regexp_extract(html, '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>', 0),
+_REFRESH = r"""replace(regexp_extract(unnest(regexp_extract_all(html, '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>')),
     '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1), '&amp;', '&')"""
 
 ORACLES["op9_url_equivalence"] = f"""WITH RECURSIVE

@@ -15,10 +15,12 @@ from textmeter.session import remove
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Tags that name another address of the page, and the attribute in them that does.
-CANONICAL_TAG = r"(?i)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
+CANONICAL_TAG = r"(?i)<link\b[^>]*\brel\s*=\s*(?:\"[^\">]*\bcanonical\b|'[^'>]*\bcanonical\b|canonical\b)[^>]*>"
 REFRESH_TAG = r"(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
 HREF = r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
 REFRESH_URL = r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)"
+#: A step of a path that names nothing itself.
+DOT_STEP = r"/\.\.?(?:/|$)"
 
 
 @dataclass(frozen=True)
@@ -59,17 +61,30 @@ def fitting_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
 
 
 def address(url: Column) -> Column:
-    """The url without its fragment, scheme and host lowered: one name for what is fetched alike."""
+    """The url without its fragment, scheme and host lowered, steps like ``..`` taken: one name for what is fetched alike."""
     whole = F.regexp_extract(url, r"^([^#]*)", 1)
     head = F.regexp_extract(whole, r"^[^:/?#]*://[^/?]*", 0)
-    return F.concat(F.translate(head, UPPER, LOWER), F.substring(whole, F.length(head) + 1, F.length(whole)))
+    rest = F.substring(whole, F.length(head) + 1, F.length(whole))
+    path = F.regexp_extract(rest, r"^[^?]*", 0)
+    query = F.substring(rest, F.length(path) + 1, F.length(rest))
+    return F.concat(F.translate(head, UPPER, LOWER), F.when(path.rlike(DOT_STEP), F.concat(_walked(path), query)).otherwise(rest))
+
+
+def _walked(path: Column) -> Column:
+    """The path after its steps: ``.`` stays, ``..`` goes up, at most to the root; a step at the end leaves the folder."""
+    steps = F.split(F.regexp_replace(path, r"(/\.\.?)$", "$1/"), "/")
+    up = lambda done: F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+    taken = F.aggregate(
+        F.slice(steps, F.lit(2), F.size(steps)), F.array().cast("array<string>"),
+        lambda done, step: F.when(step == "..", up(done)).when(step == ".", done).otherwise(F.concat(done, F.array(step))))
+    return F.concat(F.lit("/"), F.array_join(taken, "/"))
 
 
 def resolved(link: Column, url: Column) -> Column:
     """A link on the page at ``url`` as a whole address; null if there is none.
 
     Links may be whole, without a scheme, from the root, or relative to the
-    page's folder. Steps like ``..`` are left as they are.
+    page's folder; steps like ``..`` in them are taken.
     """
     scheme = F.regexp_extract(url, r"^([^:/?#]*:)//", 1)
     site = F.regexp_extract(url, r"^[^:/?#]*://[^/?#]*", 0)
@@ -85,12 +100,14 @@ def resolved(link: Column, url: Column) -> Column:
 
 
 def page_links(pages: DataFrame) -> Column:
-    """Addresses the page's canonical link and its refresh redirect name."""
-    canonical = F.regexp_extract(F.regexp_extract("html", CANONICAL_TAG, 0), HREF, 1)
-    refresh = F.regexp_extract(F.regexp_extract("html", REFRESH_TAG, 0), REFRESH_URL, 1)
-    named = F.array(*(resolved(F.replace(link, F.lit("&amp;"), F.lit("&")), F.col("url")) for link in (canonical, refresh)))
+    """Addresses that the page's canonical links and refresh redirects name, all of them."""
+    def named(tags: str, link: str) -> Column:
+        target = lambda tag: resolved(F.replace(F.regexp_extract(tag, link, 1), F.lit("&amp;"), F.lit("&")), F.col("url"))
+        return F.transform(F.regexp_extract_all("html", F.lit(tags), F.lit(0)), target)
+
+    links = F.concat(named(CANONICAL_TAG, HREF), named(REFRESH_TAG, REFRESH_URL))
     # Most pages have neither: a search for the two words spares them the patterns.
-    return F.when(F.col("html").rlike("(?i)canonical|refresh"), F.filter(named, lambda x: x.isNotNull()))
+    return F.when(F.col("html").rlike("(?i)canonical|refresh"), F.array_distinct(F.filter(links, lambda x: x.isNotNull())))
 
 
 def judge(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None = None) -> DataFrame:
