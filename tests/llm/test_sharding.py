@@ -43,6 +43,14 @@ def test_follows_the_plain_order(spark, monkeypatch):
             assert (got[k].size, got[k].text_crc32, got[k].law, got[k].grown_shard) == (len(data) + 16, zlib.crc32(data), "rows", None)
 
 
+def test_many_sources_of_one_row(spark):
+    # All fractions are 0.5.
+    rows = [(i, "t", f"s{i:04d}") for i in range(3000)]
+    got = sharding.interleave(spark.createDataFrame(rows, "doc_id long, text string, source string"), 7).collect()
+    want = plain(rows, 7)
+    assert {r.doc_id: (r.shard, r.slot) for r in got} == want
+
+
 def test_every_shard_has_the_mixture(spark):
     rows = sample(2000)
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")

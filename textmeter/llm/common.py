@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -21,6 +22,19 @@ def store(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def keeps_names(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The operator for tables whose own columns may begin with ``__``, as its temporary ones do: they pass through."""
+    @functools.wraps(operator)
+    def run(docs: DataFrame, *given, **settings) -> DataFrame:
+        aside = {c: f"own {i} of the table" for i, c in enumerate(docs.columns) if c.startswith("__")}
+        if not aside:
+            return operator(docs, *given, **settings)
+        now = lambda x: aside.get(x, x) if isinstance(x, str) else x
+        found = operator(docs.withColumnsRenamed(aside), *map(now, given), **{k: now(v) for k, v in settings.items()})
+        return found.withColumnsRenamed({v: k for k, v in aside.items()})
+    return run
+
+
 def ranked_id(key: Column) -> Column:
     """An id that can be ordered and joined: null counts as the last one."""
     return F.coalesce(key.cast("long"), F.lit(LAST_ID))

@@ -13,7 +13,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from textmeter.llm.common import store
+from textmeter.llm.common import keeps_names, store
 
 WORD = re.compile(r"\w+")
 WIDTH = 5
@@ -256,6 +256,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     return out
 
 
+@keeps_names
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """``docs`` without the rows whose text holds an item of the benchmark; all their columns.
 

@@ -10,7 +10,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, Window as W
 
-from textmeter.llm.common import store
+from textmeter.llm.common import keeps_names, store
+from textmeter.session import remove
 
 # Families of language codes. A code that is not here is a family of its own.
 FAMILIES = {
@@ -22,6 +23,8 @@ FAMILIES = {
 
 #: Labelled documents a language is learned from: the first ones in a hash order.
 SAMPLE = 500
+#: Rows ranked for the sample, as a multiple of it: that fewer than the sample are left is out of the question.
+SPARE = 4
 #: Buckets that character n-grams are hashed to.
 BUCKETS = 1 << 12
 ORDERS = (1, 2, 3)
@@ -126,17 +129,25 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
 
     Learns from rows that are not held out, have a language and a letter. Each
     language gives its first ``sample`` texts in a hash order: a bounded sample
-    for fitting, whole texts. Keys are ranked without their texts; the sampled
-    ones, bounded by ``sample`` times the number of languages, are then looked up
-    with a broadcast. Every machine is fitted in a task of its own; the driver
+    for fitting, whole texts. Keys are ranked without their texts, and only those
+    whose hash is small enough for the language's number of rows, so the task that
+    ranks a language does not grow with it; the sampled ones, bounded by
+    ``sample`` times the number of languages, are then looked up with a broadcast.
+    Every machine is fitted in a task of its own; the driver
     receives weights only.
     """
     rows = docs.select(F.col(lang).cast("string").alias("lang"), F.col(key).cast("string").alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("hash"))
     rows = rows.filter(F.col("lang").isNotNull() & ~held_out("key") & F.col("text").rlike(r"\p{L}"))
     order = W.partitionBy("lang").orderBy(F.xxhash64("key", "hash"), "key", "hash")
-    # row_number over distinct rows: Spark keeps the first ones of each task before it shuffles.
-    named = rows.select("lang", "key", "hash").distinct().withColumn("place", F.row_number().over(order))
-    chosen, _ = store(named.filter(F.col("place") <= sample).drop("place"), "sample")
+    named, named_path = store(rows.select("lang", "key", "hash").distinct(), "keys")
+    # Proven bound: one row per language.
+    sizes = F.broadcast(named.groupBy("lang").agg(F.count("*").alias("n")))
+    # Hashes are even: about SPARE times the sample lies below this share, however many rows a language has.
+    share = F.xxhash64("key", "hash").cast("double") / 2.0**64 + 0.5
+    near = named.join(sizes, "lang").filter(share * F.col("n") <= SPARE * sample)
+    near = near.withColumn("place", F.row_number().over(order))
+    chosen, _ = store(near.filter(F.col("place") <= sample).select("lang", "key", "hash"), "sample")
+    remove(docs.sparkSession, named_path)
     languages = sorted(r.lang for r in chosen.select("lang").distinct().collect())
     models = _models(languages)
     if not models:
@@ -202,6 +213,7 @@ class Predictor:
         return best, score * sum(duels[best]) / len(duels[best])
 
 
+@keeps_names
 def identify(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` (0 to 1), from the whole text alone.
 

@@ -11,7 +11,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from textmeter.llm.common import ranked_id, store
+from textmeter.llm.common import keeps_names, ranked_id, store
 
 LINE = re.compile(r"[^\n]+")
 #: A paragraph ends at an empty line.
@@ -124,6 +124,7 @@ def repeated_units(rows: DataFrame, unit: str = "line", min_words: int = MIN_WOR
     return later.groupBy("key", "text_hash").agg(spans.alias("spans"))
 
 
+@keeps_names
 def drop_repeated_units(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS, key: str = "doc_id", text: str = "text",
                         sentence_words: int | None = None) -> DataFrame:
     """``docs`` with each text cut, and ``removed``: array of (start, end), offsets in characters of the original text.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
-from textmeter.llm.common import store
+from textmeter.llm.common import keeps_names, store
 from textmeter.session import fresh_path
 
 #: Rows that one window partition sorts, on average.
@@ -13,6 +13,8 @@ BUCKET_ROWS = 2_000
 BUCKET_BITS = 18
 #: Bits of the shuffle key: 15 hex digits of an md5.
 KEY_BITS = 60
+#: Bits of the row's number within its task, in Spark's increasing ids.
+ROW_BITS = 33
 
 
 def shuffle_key(key: Column, seed: int) -> Column:
@@ -21,6 +23,7 @@ def shuffle_key(key: Column, seed: int) -> Column:
     return F.conv(F.substring(digest, 1, KEY_BITS // 4), 16, 10).cast("long")
 
 
+@keeps_names
 def interleave(docs: DataFrame, shards: int, key: str = "doc_id", stratum: str = "source", seed: int = 42) -> DataFrame:
     """Deal rows into ``shards`` shards; adds ``shard`` (from 0) and ``slot`` (gapless from 0 within the shard).
 
@@ -31,16 +34,16 @@ def interleave(docs: DataFrame, shards: int, key: str = "doc_id", stratum: str =
 
     Ranks are exact without sorting a stratum, or the table, in one task: the
     shuffle key's leading bits cut each stratum into buckets of about
-    ``BUCKET_ROWS`` rows, whose counts give the ranks at which they begin; so do
-    the fractions for the final order. A stratum with a third of all rows only
-    has more buckets.
+    ``BUCKET_ROWS`` rows, whose counts give the ranks at which they begin. The
+    final order is a sort by ranges of the whole key (fraction, stratum, shuffle
+    key), so neither a stratum with a third of all rows nor any number of small
+    ones, whose rows all have like fractions, comes into one task.
 
     ``docs`` must be cheap to read again (a written, narrow table). A null
     stratum is one of its own, a null key is ordered like the text 'null'; rows
     equal in key are ordered by their other columns' hash, and rows equal
     throughout are interchangeable. An empty table gives an empty table. Other
-    columns pass through; columns named ``shard`` or ``slot`` are replaced, and
-    names beginning with ``__`` are reserved here.
+    columns pass through; columns named ``shard`` or ``slot`` are replaced.
     """
     total = docs.count()
     bits = min(BUCKET_BITS, (total // BUCKET_ROWS).bit_length())
@@ -63,22 +66,18 @@ def interleave(docs: DataFrame, shards: int, key: str = "doc_id", stratum: str =
     inside = W.partitionBy("__stratum", "__bucket").orderBy("__order", "__key", "__tie")
     ranked = rows.withColumn("__in", F.row_number().over(inside)).join(begins, ["__stratum", "__bucket"])
     fraction = (F.col("__before") + F.col("__in") - F.lit(0.5)) / F.col("__size")
-    ranked, _ = store(
-        ranked.select("__row", "__stratum", "__order", "__key", "__tie", fraction.alias("__fraction"))
-        .withColumn("__stretch", F.floor(F.col("__fraction") * (1 << bits))),
-        "ranked",
-    )
-
-    stretches = ranked.groupBy("__stretch").agg(F.count("*").alias("__n"))
-    # Proven bound: 2^BUCKET_BITS rows, summed up in order.
-    begins = stretches.select("__stretch", (F.sum("__n").over(W.orderBy("__stretch")) - F.col("__n")).alias("__before"))
-    inside = W.partitionBy("__stretch").orderBy("__fraction", "__stratum", "__order", "__key", "__tie")
-    position = F.col("__before") + F.col("__in") - 1
-    placed = (
-        ranked.withColumn("__in", F.row_number().over(inside))
-        .join(begins, "__stretch")
-        .select("__row.*", position.alias("__position"))
+    ordered, _ = store(
+        ranked.withColumn("__fraction", fraction).orderBy("__fraction", "__stratum", "__order", "__key", "__tie")
+        # The number of the sort's task, and the row's number in it.
+        .select("__row", F.monotonically_increasing_id().alias("__at")),
+        "ordered",
     )
+    task, row = F.shiftright("__at", ROW_BITS), F.col("__at").bitwiseAND((1 << ROW_BITS) - 1)
+    # Proven bound: one row per task of the sort.
+    tasks = ordered.groupBy(task.alias("__task")).agg(F.count("*").alias("__n"))
+    begins = tasks.select("__task", (F.sum("__n").over(W.orderBy("__task")) - F.col("__n")).alias("__before"))
+    placed = ordered.join(F.broadcast(begins), task == F.col("__task")).select(
+        "__row.*", (F.col("__before") + row).alias("__position"))
     shard = F.expr(f"(__position * {shards}L) div {max(total, 1)}L")
     first = F.expr(f"(shard * {total}L + {shards - 1}L) div {shards}L")
     return (

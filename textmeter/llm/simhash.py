@@ -9,7 +9,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from textmeter.llm.common import LAST_ID, connected_components, ranked_id, store
+from textmeter.llm.common import LAST_ID, connected_components, keeps_names, ranked_id, store
 from textmeter.session import remove
 
 BITS = 64
@@ -295,6 +295,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 2, key: str
     )
 
 
+@keeps_names
 def representatives(docs: DataFrame, width: int = 3, distance: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each class: the one with the smallest key (then text hash), null keys last.
 
