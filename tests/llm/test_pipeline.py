@@ -3,6 +3,7 @@
 import corpus_pipeline
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from textmeter.llm import decontaminate, line_dedup, simhash
@@ -74,6 +75,26 @@ def test_tokens_are_lossless(steps):
     assert all(r.lossless and r.ids == library.encode(texts[r.doc_id], add_special_tokens=False).ids and r.n_tokens == len(r.ids) for r in rows)
 
 
+def test_hard_rows_and_empty_tables(spark):
+    """Null ids, repeated rows, ties, a very long text, own columns named like an operator's; then no rows at all."""
+    long = " ".join(f"word{i}" for i in range(40_000))
+    rows = [(None, "no id here at all", "en", "s", 17), (5, long, "en", "s", len(long)), (1, "the same text twice", "en", "s", 19),
+            (1, "the same text twice", "en", "s", 19), (2, "the same text twice", None, None, None), (3, None, "en", "s", None), (4, "", "xx", "s", 0)]
+    own = ["removed", "lang_pred", "score", "__row", "__key", "ids", "item_id", "given"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({c: F.concat(F.lit(c), F.coalesce("doc_id", F.lit(0)).cast("string")) for c in own})
+    for given, ids in ((docs, [None, 1, 5]), (docs.limit(0), [])):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            given = stage(spark, given, SF)
+            assert given.columns == docs.columns, name
+            got = given.collect()
+            assert all(r[c] == f"{c}{r.doc_id or 0}" for r in got for c in own), name
+            given = spark.createDataFrame(got, given.schema)
+        assert sorted((r.doc_id for r in got), key=lambda i: i or 0) == ids
+        last = corpus_pipeline.STAGES[-1][1](spark, given, SF).collect()
+        assert len(last) == len(ids) and all(r.lossless for r in last)
+
+
 def test_run_is_the_stages_in_order(spark):
     got = corpus_pipeline.run(spark, SF)
     assert got.columns == ["doc_id", "lang", "source", "ids", "n_tokens", "lossless"] and got.filter("NOT lossless").count() == 0
