@@ -13,6 +13,8 @@ from textmeter.llm.common import store, table
 
 #: Rows of an Arrow batch: texts may be long, and executor and worker each hold whole batches.
 BATCH_ROWS = 1000
+#: Columns of documents; each stage passes others on as they are.
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 #: SQL has neither XXH64 nor learned models nor BPE; the stages are tested one by one instead.
 ORACLE_SQL = None
@@ -22,7 +24,9 @@ def _small_batches(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     @functools.wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-        return stage(spark, docs, sf_dir)
+        # Columns beside those of documents pass through under names that no operator uses.
+        extra = {c: f"extra {i}" for i, c in enumerate(docs.columns) if c not in COLUMNS}
+        return stage(spark, docs.withColumnsRenamed(extra), sf_dir).withColumnsRenamed({v: c for c, v in extra.items()})
     return run
 
 
