@@ -91,11 +91,13 @@ def test_cache_tells_labels_and_settings_apart(spark, table):
     assert {r.cleaned_review for r in T.cleaned_cache(df, path, C.clean_text, lemmas=lemmas).collect()} == {"one text", "two text"}
 
 
-def test_upsert_replaces_the_models_rows(table):
+def test_upsert_replaces_the_models_rows(spark, table):
     schema = "Model string, Features string, Accuracy double"
     old = table([("a", "x", 0.1), ("b", "x", 0.2), ("b", "y", 0.3)], schema)
     new = table([("b", "z", 0.9)], schema)
-    assert {tuple(r) for r in T.store_results(old, new).collect()} == {("a", "x", 0.1), ("b", "z", 0.9)}
+    path = fresh_path(spark, "results")
+    T.store_results(path, old)
+    assert {tuple(r) for r in T.store_results(path, new).collect()} == {("a", "x", 0.1), ("b", "z", 0.9)}
     assert T.upsert_result(None, new).collect() == new.collect()
 
 

@@ -181,7 +181,9 @@ def results_upsert(spark, sf):
     replacement = E.classification_metrics(predictions(spark, sf)).select(
         F.lit("src0").alias("Model"), F.lit("all").alias("Features"), "*"
     )
-    return T.store_results(rows, E.results_table(replacement))
+    path = fresh_path(spark, "results")
+    T.store_results(path, rows)
+    return T.store_results(path, E.results_table(replacement))
 
 
 @query

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, ty
 from textmeter.operators.quality import realism_gate
 from textmeter.operators.splits import seeded_shuffle
 from textmeter.session import fresh_path
+from textmeter.sources import versions
 
 REVIEWS = T.StructType([
     T.StructField("id", T.LongType()),
@@ -186,14 +187,6 @@ def load_reviews(spark: SparkSession, path: str, *parts: DataFrame, **gates) ->
     return read_csv(spark, path)
 
 
-def _path_exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path)
-        return True
-    except AnalysisException:
-        return False
-
-
 def fingerprint(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """One row (n_rows, fingerprint) that changes with the rows' content, not with their order.
 
@@ -217,19 +210,19 @@ def cleaned_cache(df: DataFrame, path: str, clean, **settings) -> DataFrame:
     The folder under ``path`` is named by the content of every column of ``df``
     and by the cleaning function and its settings, so a table made from other
     labels or by other rules is another one. What is stored is compared again
-    before it is used. A run that fails half-way leaves no table behind: the
-    folder counts once its writer has finished.
+    before it is used. A table counts once it is committed (``versions``): a run
+    that fails half-way leaves none behind, and two writers do not meet.
     """
     spark = df.sparkSession
     now = fingerprint(df).first()
     rules = f"{getattr(clean, '__module__', '')}.{getattr(clean, '__qualname__', repr(clean))} {_settings_key(settings)}"
     folder = f"{path}/{sha256(f'{tuple(now)} {sorted(df.dtypes)} {rules}'.encode()).hexdigest()[:32]}"
-    if _path_exists(spark, folder):
-        stored = spark.read.parquet(folder)
+    _, whole = versions.current(spark, folder)
+    if whole is not None:
+        stored = spark.read.parquet(whole)
         if {"cleaned_review", *df.columns} <= {*stored.columns} and fingerprint(stored, df.columns).first() == now:
             return stored
-    clean(df, **settings).write.mode("overwrite").parquet(folder)
-    return spark.read.parquet(folder)
+    return spark.read.parquet(versions.commit(spark, folder, lambda _, new: clean(df, **settings).write.parquet(new)))
 
 
 def upsert_result(existing: DataFrame | None, new: DataFrame) -> DataFrame:
@@ -240,8 +233,15 @@ def upsert_result(existing: DataFrame | None, new: DataFrame) -> DataFrame:
     return kept.select(*existing.columns).unionByName(new)
 
 
-def store_results(existing: DataFrame | None, new: DataFrame) -> DataFrame:
-    """Upsert, written to a new folder (never the one being read) and read back."""
-    merged = upsert_result(existing, new)
-    path = write_csv(merged, fresh_path(merged.sparkSession, "results"))
-    return read_csv(merged.sparkSession, path, merged.schema)
+def store_results(path: str, new: DataFrame) -> DataFrame:
+    """Upsert into the results stored under ``path``, as a new version of them; all results, read back.
+
+    Writers at once do not lose each other's rows: the later one is added to
+    what the earlier one committed.
+    """
+    spark = new.sparkSession
+
+    def write(before: str | None, folder: str) -> None:
+        write_csv(upsert_result(before and read_csv(spark, before, new.schema), new), folder)
+
+    return read_csv(spark, versions.commit(spark, path, write), new.schema)
