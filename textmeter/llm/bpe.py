@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
+from textmeter.llm.common import settle
+
 #: Pieces a worker remembers; beyond it starts anew.
 REMEMBERED = 1 << 19
 #: A blank alone between other characters: no match of the pattern reaches across its left side.
@@ -196,6 +198,7 @@ def grouped(texts: Iterable[str]) -> Iterator[list[str]]:
 def forget(tokenizer: str) -> None:
     """At the end of a task: the worker goes on to other work without the pieces it remembers."""
     _encoder(tokenizer).forget()
+    settle()
 
 
 def encode_texts(tokenizer: str, texts: Iterable[str]) -> Iterator[bytes]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 from collections.abc import Callable, Iterator
 
@@ -44,6 +45,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def settle() -> None:
+    """At the end of a task: free memory goes back to the machine, as the worker lives on and serves other stages."""
+    pa.default_memory_pool().release_unused()
+    # Only the C library of Linux keeps freed pages until asked.
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 #: Bytes of texts that are worked on before the results made of them leave the worker.
 TEXT_BYTES = 4 << 20
 

@@ -13,7 +13,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from textmeter.llm.common import keeps_names, store
+from textmeter.llm.common import keeps_names, settle, store
 
 WORD = re.compile(r"\w+")
 WIDTH = 5
@@ -250,6 +250,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
             names = [x.rsplit(" ", 1)[0] for x in MATCH.split(", ")]
             for texts in batches:
                 yield pd.Series([[dict(zip(names, m)) for m in held.search(t)] for t in texts])
+            settle()
 
         found = read.withColumn("__match", F.explode(matches("__text"))).select(key, "__match.*")
         out = found if out is empty else out.union(found)

@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, Window as W
 
-from textmeter.llm.common import keeps_names, store
+from textmeter.llm.common import keeps_names, settle, store
 from textmeter.session import remove
 
 # Families of language codes. A code that is not here is a family of its own.
@@ -231,6 +231,7 @@ def identify(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
         predictor = Predictor(shipped.value)
         for texts in batches:
             yield pd.DataFrame([predictor.predict(t) for t in texts], columns=["lang_pred", "score"])
+        settle()
 
     found = docs.withColumn("__found", predicted(F.col(text)))
     return found.withColumn("lang_pred", F.col("__found.lang_pred")).withColumn("score", F.col("__found.score")).drop("__found")

@@ -11,7 +11,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from textmeter.llm.common import keeps_names, ranked_id, store
+from textmeter.llm.common import keeps_names, ranked_id, settle, store
 
 LINE = re.compile(r"[^\n]+")
 #: A paragraph ends at an empty line.
@@ -92,6 +92,7 @@ def unit_table(rows: DataFrame, unit: str, min_words: int, sentence_words: int |
                     yield pack(keys, hashes, spans, digests)
                     keys, hashes, spans, digests = [], [], [], []
             yield pack(keys, hashes, spans, digests)
+        settle()
 
     def pack(keys, hashes, spans, digests):
         at = np.array(spans, "i4").reshape(-1, 2)
@@ -150,10 +151,12 @@ def drop_repeated_units(docs: DataFrame, unit: str = "line", min_words: int = MI
     )
 
     @F.pandas_udf("left string, removed array<struct<start:int,end:int>>")
-    def without(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
-        removed = [outermost([(x["start"], x["end"]) for x in s]) if s is not None else [] for s in spans]
-        left = [cut(t, r) if r else t for t, r in zip(texts, removed)]
-        return pd.DataFrame({"left": left, "removed": [[{"start": a, "end": b} for a, b in r] for r in removed]})
+    def without(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, spans in batches:
+            removed = [outermost([(x["start"], x["end"]) for x in s]) if s is not None else [] for s in spans]
+            left = [cut(t, r) if r else t for t, r in zip(texts, removed)]
+            yield pd.DataFrame({"left": left, "removed": [[{"start": a, "end": b} for a, b in r] for r in removed]})
+        settle()
 
     # The narrow side is hashed, so texts are shuffled once and not sorted.
     joined = rows.join(spans.hint("shuffle_hash"), ["__key", "__hash"], "left").drop("__key", "__hash")

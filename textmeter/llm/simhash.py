@@ -9,7 +9,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from textmeter.llm.common import LAST_ID, connected_components, keeps_names, ranked_id, store
+from textmeter.llm.common import LAST_ID, connected_components, keeps_names, ranked_id, settle, store
 from textmeter.session import remove
 
 BITS = 64
@@ -60,8 +60,10 @@ def fingerprint_column(text: Column, width: int) -> Column:
     """Fingerprint of a text column as a long; a null text counts as one without words."""
 
     @F.pandas_udf("long")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint(t, width) for t in texts], dtype="int64")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([fingerprint(t, width) for t in texts], dtype="int64")
+        settle()
 
     return of(F.coalesce(text, F.lit("")))
 
