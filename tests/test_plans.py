@@ -8,6 +8,7 @@ from textmeter.operators import evaluation as E, models as M
 from textmeter.plans import study
 from textmeter.plans.audit import integrity_audit
 from textmeter.plans.transformer_data import evaluate_transformer, transformer_data
+from textmeter.session import materialize
 
 GOOD, BAD, PLAIN = ["great", "superb", "moving"], ["awful", "dull", "boring"], ["film", "plot", "actor", "scene", "score", "town"]
 
@@ -105,3 +106,26 @@ def test_transformer_report(table):
     assert {r.metric: r.verdict for r in report.comparison.collect()}["Accuracy"] == "better"
     assert {r.Model for r in report.results.collect()} == {"LR", "DistilBERT"}
     assert report.report.count() == 5
+
+
+def test_audit_of_an_empty_table_and_of_nulls(table):
+    schema = "id long, review string, cleaned_review string, sentiment int"
+    empty = {(r.check, r.item): r.value for r in integrity_audit(table([], schema)).collect()}
+    assert empty["class_balance", "pos"] == 0.0 and empty["length", "avg"] is None and empty["vocabulary", "size"] == 0.0
+    rows = [(None, None, None, None), (1, "Positive", "positive", 1), (None, "plot plot", "plot plot", 0)]
+    found = {(r.check, r.item): r.value for r in integrity_audit(table(rows, schema)).collect()}
+    assert found["length", "min"] == 0.0 and found["length", "max"] == 2.0 and found["length", "avg"] == 1.0
+    assert found["label_leakage", "positive"] == found["label_leakage", "positive/pos"] == 1.0
+    assert found["class_balance", "pos"] == found["class_balance", "neg"] == 1.0 and found["top_tokens", "plot"] == 2.0
+
+
+def test_audit_scans_its_table_once(table, monkeypatch):
+    from textmeter.plans import audit
+
+    written, scans = [], []
+    count = audit.Q.token_counts
+    monkeypatch.setattr(audit, "materialize", lambda df, name: written.append(name) or materialize(df, name))
+    monkeypatch.setattr(audit.Q, "token_counts", lambda df: scans.append(df.inputFiles()) or count(df))
+    report = audit.integrity_audit(table([(1, "good film", "good film", 1)], "id long, review string, cleaned_review string, sentiment int"))
+    assert written == ["audit", "audit-tokens"] and len(scans) == 1
+    assert not {f for f in report.inputFiles()} & set(scans[0])

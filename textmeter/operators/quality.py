@@ -101,21 +101,35 @@ def label_leakage(df: DataFrame, words: Iterable[str] = R.LEAKAGE_WORDS, text: s
     One pass: the words become flags, the flags become counts, the counts become rows.
     """
     words = list(words)
-    hits = [F.coalesce(F.col(text).rlike(rf"(?iU)\b{re.escape(w)}\b"), F.lit(False)).alias(f"_h{i}") for i, w in enumerate(words)]
-    flags = df.select(F.col(label).alias("_label"), *hits)
+    flags = df.select(F.col(label).alias("_label"), *leakage_hits(words, text))
+    return leaked_words(flags.agg(*leakage_measures(words, "_label")), words)
+
+
+def leakage_hits(words: list[str], text: str = "cleaned_review") -> list[Column]:
+    """One flag for each word, ``_h0`` and so on: whether the text contains it."""
+    return [F.coalesce(F.col(text).rlike(rf"(?iU)\b{re.escape(w)}\b"), F.lit(False)).alias(f"_h{i}") for i, w in enumerate(words)]
+
+
+def leakage_measures(words: list[str], label: str = "sentiment") -> list[Column]:
+    """Aggregates over the flags: rows with each word, in total and per class."""
     counts = []
     for i in range(len(words)):
         hit = F.col(f"_h{i}")
         counts += [
             F.count_if(hit).alias(f"_n{i}"),
-            F.count_if(hit & (F.col("_label") == 1)).alias(f"_p{i}"),
-            F.count_if(hit & (F.col("_label") == 0)).alias(f"_m{i}"),
+            F.count_if(hit & (F.col(label) == 1)).alias(f"_p{i}"),
+            F.count_if(hit & (F.col(label) == 0)).alias(f"_m{i}"),
         ]
+    return counts
+
+
+def leaked_words(measured: DataFrame, words: list[str]) -> DataFrame:
+    """(word, n_rows, pos, neg) from one row of measures, for words that occur."""
     rows = [
         F.struct(F.lit(w).alias("word"), F.col(f"_n{i}").alias("n_rows"), F.col(f"_p{i}").alias("pos"), F.col(f"_m{i}").alias("neg"))
         for i, w in enumerate(words)
     ]
-    return flags.agg(*counts).select(F.inline(F.array(*rows))).filter("n_rows > 0")
+    return measured.select(F.inline(F.array(*rows))).filter("n_rows > 0")
 
 
 def _audit_words(df: DataFrame, text: str) -> DataFrame:
@@ -146,8 +160,14 @@ def top_tokens(df: DataFrame, k: int = R.AUDIT_TOP_TOKENS, text: str = "cleaned_
 
 
 def length_audit(df: DataFrame, text: str = "cleaned_review", min_mean: float = R.AUDIT_MIN_MEAN_WORDS) -> DataFrame:
-    lengths = df.select(X.word_count(F.col(text)).alias("n"))
-    measured = lengths.agg(F.avg("n").alias("avg_words"), F.min("n").alias("min_words"), F.max("n").alias("max_words"))
+    return length_verdict(df.select(X.word_count(F.col(text)).alias("n")).agg(*length_measures("n")), min_mean)
+
+
+def length_measures(count: str) -> list[Column]:
+    return [F.avg(count).alias("avg_words"), F.min(count).alias("min_words"), F.max(count).alias("max_words")]
+
+
+def length_verdict(measured: DataFrame, min_mean: float = R.AUDIT_MIN_MEAN_WORDS) -> DataFrame:
     return measured.select(
         F.round("avg_words", 4).alias("avg_words"), "min_words", "max_words",
         (F.col("avg_words") < min_mean).alias("too_short"),
@@ -156,7 +176,14 @@ def length_audit(df: DataFrame, text: str = "cleaned_review", min_mean: float =
 
 def class_balance(df: DataFrame, label: str = "sentiment", low: float = R.BALANCE_RANGE[0],
                   high: float = R.BALANCE_RANGE[1]) -> DataFrame:
-    counted = df.agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
+    return balance_verdict(df.agg(*balance_measures(label)), low, high)
+
+
+def balance_measures(label: str = "sentiment") -> list[Column]:
+    return [F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")]
+
+
+def balance_verdict(counted: DataFrame, low: float = R.BALANCE_RANGE[0], high: float = R.BALANCE_RANGE[1]) -> DataFrame:
     ratio = F.col("pos") / F.greatest("neg", F.lit(1))
     return counted.select("pos", "neg", F.round(ratio, 4).alias("ratio"), ratio.between(low, high).alias("balanced"))
 
