@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from textmeter.operators import features as V, word_vectors as W
 
@@ -92,3 +93,36 @@ def test_rows_without_their_own_id_keep_their_vectors(spark, table):
     got = V.word2vec_vectors(df, model)
     assert got.columns == ["id", "tokens", "word2vec"]
     assert sorted(((r.id, list(r.word2vec)) for r in got.collect()), key=repr) == want
+
+
+def test_each_part_is_a_task(spark, monkeypatch):
+    tasks, averaged = [], W._averaged
+
+    def seen(trained, *given):
+        tasks.append((trained.rdd.getNumPartitions(), trained.select(F.spark_partition_id().alias("p")).distinct().count()))
+        return averaged(trained, *given)
+
+    monkeypatch.setattr(W, "_averaged", seen)
+    monkeypatch.setattr(W, "PART_WORDS", 4000)
+    W.fit_cbow(spark.createDataFrame(topical(), SCHEMA).repartition(3), dim=4, epochs=1)
+    # 36,000 words: nine parts, and as many again as fill the second round of eight cores.
+    assert tasks == [(16, 16)]
+
+
+def test_words_drawn_by_the_guide():
+    rng = np.random.default_rng(6)
+    for n in (1, 3, 5000):
+        chance = np.cumsum(rng.random(n) ** 8)
+        guide = np.searchsorted(chance, np.arange(W.GUIDE + 1) / W.GUIDE * chance[-1])
+        random_ = rng.random((4000, 5))
+        assert (W._drawn_by(chance, guide, random_) == np.searchsorted(chance, random_ * chance[-1])).all()
+
+
+def test_scaled_steps_of_one_row_are_added():
+    rng = np.random.default_rng(4)
+    for rows in (4, 5000):
+        at, scale, steps = rng.integers(0, rows, (30, 6)), rng.random((30, 6), "f4"), rng.random((30, 3), "f4")
+        got, want = np.zeros((rows, 3), "f4"), np.zeros((rows, 3))
+        W._add_scaled(got, at, scale, steps)
+        np.add.at(want, at.ravel(), (scale[:, :, None] * steps[:, None, :]).reshape(-1, 3))
+        assert got == pytest.approx(want, abs=1e-4)
