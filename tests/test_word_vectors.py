@@ -95,6 +95,29 @@ def test_rows_without_their_own_id_keep_their_vectors(spark, table):
     assert sorted(((r.id, list(r.word2vec)) for r in got.collect()), key=repr) == want
 
 
+def test_means_by_parts_equal_those_by_broadcast(spark, table, monkeypatch):
+    rng = random.Random(3)
+    known = [(f"w{i}", [rng.random(), rng.random(), rng.random()]) for i in range(40)] + [("w3", [1.0, 2.0, 3.0])]
+    vectors = table(known, "word string, vector array<double>")
+    rows = [(rng.choice([None, i]), [rng.choice([None, f"w{rng.randrange(60)}"]) for _ in range(rng.randrange(9))]) for i in range(300)]
+    df = table([*rows, (9, None), (9, ["none"]), (9, ["w1"] * 20_000)], SCHEMA).repartition(5)
+
+    def means():
+        return sorted((str(r.id), *(round(x, 9) for x in r.mean)) for r in V.mean_vectors(df, vectors).collect())
+
+    want = means()
+    monkeypatch.setattr(V, "fits_broadcast", lambda words: False)
+    monkeypatch.setattr(W, "LEAST_WORDS", 200)
+    monkeypatch.setattr(W, "TOGETHER", 2)
+    assert means() == want
+    moved = V.mean_vectors(df, vectors)._jdf.queryExecution().executedPlan().toString()
+    # Moved are texts, distinct words and finished means, no partial mean of a text and a word.
+    assert "FlatMapCoGroupsInArrow" in moved and "summarizer" not in moved.lower() and "aggregate_metrics" not in moved.lower()
+    monkeypatch.setattr(W, "LEAST_WORDS", 1 << 20)
+    assert means() == want
+    assert V.mean_vectors(df.limit(0), vectors).collect() == []
+
+
 def test_each_part_is_a_task(spark, monkeypatch):
     tasks, averaged = [], W._averaged
 
