@@ -4,7 +4,10 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyarrow import compute as pc
 
 from textmeter.llm import queries, word_lm
 
@@ -79,3 +82,33 @@ def test_no_target_and_empty(spark):
     r = word_lm.cross_entropy_difference(docs, none).first()
     assert abs(r.target_loss - math.log(4)) < 1e-9 and r.n_tokens == 4
     assert word_lm.cross_entropy_difference(docs.limit(0), none).count() == 0
+
+
+def test_totals_come_back_in_the_order_asked():
+    """Blocks ask for sums over all of them; a distinct pair takes less than 8 bytes on its way, 24 to 40 as a row."""
+    rng = np.random.default_rng(3)
+    blocks = [np.unique(rng.integers(0, 2**64, 1000, "u8", endpoint=False)[rng.integers(0, 1000, 800)]) for _ in range(2)]
+    blocks += [np.unique(np.concatenate([blocks[0][::2], blocks[1][::3]])), np.array([0, 2**64 - 1], "u8")]
+    asked = [word_lm.ask(i, keys, [keys % 7 + 1, keys % 2], 3, 10 + i) for i, keys in enumerate(blocks)]
+    every = pa.concat_tables(asked)
+    back = pa.concat_tables([word_lm.answer(every.filter(pc.equal(every["part"], p))) for p in range(3)])
+    times = Counter(k for keys in blocks for k in keys.tolist())
+    owned = Counter()
+    for i, keys in enumerate(blocks):
+        rows = back.filter(pc.equal(back["block"], i))
+        assert set(rows["carried"].to_pylist()) == {10 + i}
+        n, odd, own = word_lm.answered(rows, 2)
+        assert n.tolist() == [times[k] * (k % 7 + 1) for k in keys.tolist()]
+        assert odd.tolist() == [times[k] * (k % 2) for k in keys.tolist()]
+        owned.update(k for k, o in zip(keys.tolist(), own) if o)
+    assert owned == dict.fromkeys(times, 1)
+    kinds = [k for k in back["kinds"].to_pylist() if k]
+    assert [sum(k) for k in zip(*kinds)] == [len(times), sum(k % 2 for k in times)]
+    wide = np.unique(rng.integers(0, 2**64, 1 << 18, "u8", endpoint=False))
+    sent = word_lm.ask(0, wide, [np.ones(len(wide), "i8"), np.arange(len(wide)) % 2], 8, 0)
+    assert sum(map(len, sent["keys"].to_pylist() + sent["sums"].to_pylist())) < 8 * len(wide)
+
+
+def test_numbers_are_packed_whole():
+    for values in (np.zeros(0, "i8"), np.array([0, -1, 2**63 - 1, -2**63]), np.arange(5)):
+        assert word_lm.unpack(word_lm.pack(values)).tolist() == values.tolist()
