@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from tokenizers import Tokenizer
 
 from textmeter.llm import bpe
 
@@ -88,3 +89,17 @@ def test_digests_over_a_whole_table(spark, oracle, ours):
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256(text[r.doc_id]).hexdigest()
     assert bpe.digests(df.limit(0), ours).count() == 0
+
+
+def test_remembered_pieces_are_looked_up_not_walked_through():
+    class Remembered(dict):
+        def __iter__(self):
+            raise AssertionError("all remembered pieces were walked through")
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encoder = bpe.Encoder(bpe.tokenizer_json(public_tokenizers.path("byte_bpe_50k.json")))
+    texts = ["one two, two three.\nfour", "", "two  three \n one", " one", "one two   twö  three", "one"]
+    for more in ([], ["five two six"], ["x" * 50 + " two\t two"]):
+        got = encoder.encode(texts + more)
+        assert [np.frombuffer(g, "<u4").tolist() for g in got] == [library.encode(t, add_special_tokens=False).ids for t in texts + more]
+        encoder.tails = Remembered(encoder.tails)

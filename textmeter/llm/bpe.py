@@ -9,6 +9,7 @@ import os
 import re
 from collections.abc import Iterable, Iterator
 from hashlib import sha256
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -113,8 +114,8 @@ class Encoder:
         self.library.encode_special_tokens = True
         self.after_blank = np.array([t[:1] == b" " for t in token_bytes(tokenizer)])
         self.heads: dict[str, bytes] = {}
-        #: Pieces after a blank; None for those that are not the whole of a piece.
-        self.tails: dict[str, bytes | None] = {}
+        #: Pieces after a blank; False for those that are not the whole of a piece.
+        self.tails: dict[str, bytes | bool] = {}
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(pieces, add_special_tokens=False)
@@ -123,7 +124,7 @@ class Encoder:
     def _encode_tails(self, pieces: list[str]) -> list[bytes]:
         """Pieces without a blank inside, each after one: encoded as one text, cut where a token begins with a blank."""
         found: list[bytes] = []
-        for group in grouped(pieces):
+        for group in grouped(pieces) if sum(map(len, pieces)) > GROUP else [pieces] if pieces else []:
             ids = np.array(self.library.encode_batch_fast([" " + " ".join(group)], add_special_tokens=False)[0].ids, "<u4")
             begins = np.flatnonzero(self.after_blank[ids])
             if len(begins) != len(group):
@@ -132,24 +133,24 @@ class Encoder:
             found += [data[a:b] for a, b in zip(edges, edges[1:])]
         return found
 
-    def _learn(self, texts: list[list[str]]) -> None:
-        if len(self.tails) + len(self.heads) > REMEMBERED:
-            self.forget()
-        heads = list({t[0] for t in texts}.difference(self.heads))
-        self.heads.update(zip(heads, self._encode(heads)))
-        tails: set[str] = set()
-        for t in texts:
-            tails.update(t[1:])
-        tails.difference_update(self.tails)
-        whole = [p for p in tails if p and not p[0].isspace() and not p[-1].isspace()]
-        self.tails.update(dict.fromkeys(tails))
+    def _learn_heads(self, heads: Iterable[str]) -> None:
+        new = list(set(heads).difference(self.heads))
+        self.heads.update(zip(new, self._encode(new)))
+
+    def _learn_tails(self, tails: Iterable[str]) -> None:
+        whole = []
+        for p in set(tails):
+            if p and p == p.strip():
+                whole.append(p)
+            else:
+                self.tails[p] = False
         self.tails.update(zip(whole, self._encode_tails(whole)))
 
     def _apart(self, text: str) -> bytes:
         """A text with blanks beside white space or its ends: cut at lone blanks only."""
         head, *tails = LONE_BLANK.split(text)
         known = [self.tails.get(p) for p in tails]
-        missing = [i for i, k in enumerate(known) if k is None]
+        missing = [i for i, k in enumerate(known) if not k]
         for i, ids in zip(missing, self._encode([" " + tails[i] for i in missing])):
             known[i] = ids
         return self._encode([head])[0] + b"".join(known)
@@ -158,17 +159,27 @@ class Encoder:
         self.heads, self.tails = {}, {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.tails) + len(self.heads) > REMEMBERED:
+            self.forget()
         split = [t.split(" ") for t in texts]
-        self._learn(split)
-        out, tail = [], self.tails.__getitem__
+        self._learn_heads(parts[0] for parts in split)
+        # All pieces are looked up once; only those not found are looked at again.
+        pieces = list(chain.from_iterable(islice(parts, 1, None) for parts in split))
+        known = list(map(self.tails.get, pieces))
+        missing = [i for i, ids in enumerate(known) if ids is None]
+        self._learn_tails(map(pieces.__getitem__, missing))
+        for i in missing:
+            known[i] = self.tails[pieces[i]]
+        out, first = [], 0
         for text, parts in zip(texts, split):
-            head = parts[0]
+            head, last = parts[0], first + len(parts) - 1
             try:
                 if not head or head[-1].isspace():
                     raise TypeError
-                out.append(self.heads[head] + b"".join(map(tail, parts[1:])))
-            except TypeError:  # a None among the pieces
+                out.append(self.heads[head] + b"".join(known[first:last]))
+            except TypeError:  # a False among the pieces
                 out.append(self._apart(text) if text else b"")
+            first = last
         return out
 
 
