@@ -103,3 +103,54 @@ def test_remembered_pieces_are_looked_up_not_walked_through():
         got = encoder.encode(texts + more)
         assert [np.frombuffer(g, "<u4").tolist() for g in got] == [library.encode(t, add_special_tokens=False).ids for t in texts + more]
         encoder.tails = Remembered(encoder.tails)
+
+
+def test_known_words_are_not_encoded_again():
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encoder = bpe.Encoder(bpe.tokenizer_json(public_tokenizers.path("byte_bpe_50k.json")))
+    encoder.encode(["one two naïve, a.\nfour\n", "four"])
+    encoder.library = encoder.merger = None
+    texts = ["four two, one", "", "four. a naïve. two\n\nfour"]
+    known = ["four two, a naïve", "", "four.\nfour two, two."]
+    assert [np.frombuffer(g, "<u4").tolist() for g in encoder.encode(known)] == [library.encode(t, add_special_tokens=False).ids for t in known]
+    with pytest.raises(AttributeError):
+        encoder.encode(texts)
+
+
+def cut(texts):
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
+    edges = np.cumsum([0, *map(len, texts)])
+    starts = np.flatnonzero(bpe.word_starts(points, bpe.character_kinds()[points], edges[:-1][np.diff(edges) > 0]))
+    parts = np.split(starts, np.searchsorted(starts, edges[1:-1]))
+    return [(part - first).tolist() for part, first in zip(parts, edges)]
+
+
+def test_words_are_cut_as_the_library_cuts(ours):
+    sure = [chr(i) for i in np.flatnonzero(bpe.character_kinds())]
+    assert len(sure) > 50_000 and not set(map(chr, range(128))).difference(sure)
+    rng = random.Random(4)
+    letters = "aé  \n\t　'''stmdrevl1٣!-_\x1c\x85"
+    texts = [f"a{c}1{c}{c}!{c} {c}" for c in sure] + ["".join(rng.choice(letters) for _ in range(rng.randint(0, 12))) for _ in range(20_000)]
+    got = cut(texts)
+    for tokenizer in (Tokenizer.from_str(ours), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))):
+        assert got == [[a for _, (a, _) in tokenizer.pre_tokenizer.pre_tokenize_str(t)] for t in texts]
+
+
+def test_texts_of_unsure_characters_and_other_patterns_go_to_the_library(oracle, ours):
+    texts = ["one 😀 two", "plain one", "", "ɀ͸ a", "plain  one", "\U0001d400b 1"]
+    assert [np.frombuffer(b, "<u4").tolist() for b in bpe.encode_texts(ours, texts)] == [oracle.encode_ordinary(t) for t in texts]
+    digits = ours.replace(r"\\p{N}+", r"\\p{N}{1,3}")
+    library = Tokenizer.from_str(digits)
+    assert digits != ours and not bpe.Encoder(digits).by_words and bpe.Encoder(ours).by_words
+    texts += ["12345 678901 a1234"]
+    assert [np.frombuffer(b, "<u4").tolist() for b in bpe.encode_texts(digits, texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_groups_of_any_size_give_the_same_ids(oracle, ours, monkeypatch):
+    texts = HARD + noise(80, 3) + ["long" * 3_000 + " words" * 300]
+    want = [oracle.encode_ordinary(t) for t in texts]
+    for together, merged, remembered in ((1, 1, 0), (300, 7, 40), (1 << 20, 1 << 20, 1 << 20)):
+        monkeypatch.setattr(bpe, "TOGETHER", together)
+        monkeypatch.setattr(bpe, "MERGED", merged)
+        monkeypatch.setattr(bpe, "REMEMBERED", remembered)
+        assert [np.frombuffer(b, "<u4").tolist() for b in bpe.encode_texts(ours, texts)] == want

@@ -7,21 +7,30 @@ import functools
 import json
 import os
 import re
+import sys
+import unicodedata
 from collections.abc import Iterable, Iterator
 from hashlib import sha256
 from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
 from textmeter.llm.common import settle
 
-#: Pieces a worker remembers; beyond it starts anew.
+#: Words and pieces a worker remembers; beyond it starts anew.
 REMEMBERED = 1 << 19
 #: A blank alone between other characters: no match of the pattern reaches across its left side.
 LONE_BLANK = re.compile(r"(?<=\S) (?=\S)")
+#: The pattern by which texts can be cut into words here; texts of tokenizers with another one are cut by the library.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: What that pattern calls white space.
+SPACES = frozenset("\t\n\v\f\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000").union(map(chr, range(0x2000, 0x200B)))
+#: Stands between words encoded side by side: no UTF-8 text holds this byte.
+APART = 0xFF
 
 
 # --- the vocabulary ----------------------------------------------------------
@@ -96,22 +105,115 @@ def token_bytes(tokenizer: str) -> list[bytes]:
     return [table.get(i, b"") for i in range(max(table) + 1)]
 
 
+# --- words -------------------------------------------------------------------
+
+UNSURE, LETTER, NUMBER, SPACE, OTHER = range(5)
+
+
+@functools.cache
+def character_kinds() -> np.ndarray:
+    """For each code point what ``PATTERN`` takes it for; UNSURE beyond U+FFFF and where versions of Unicode may differ.
+
+    Unicode 3.2 and Python's own version agree on the others; the library has a
+    version between.
+    """
+    kinds = {"L": LETTER, "N": NUMBER, "Z": UNSURE, "Cn": UNSURE, "Cs": UNSURE}
+    characters = [*map(chr, range(1 << 16))]
+    then, now = (
+        np.array([kinds.get(c, kinds.get(c[0], OTHER)) for c in map(category, characters)], "u1")
+        for category in (unicodedata.ucd_3_2_0.category, unicodedata.category)
+    )
+    table = np.full(sys.maxunicode + 1, UNSURE, "u1")
+    table[:1 << 16] = np.where(then == now, then, UNSURE)
+    table[[*map(ord, SPACES)]] = SPACE
+    return table
+
+
+def word_starts(points: np.ndarray, kinds: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Where the matches of ``PATTERN`` begin: a mask of the code points of all texts, which begin at ``first``.
+
+    ``kinds`` are those of the code points, none UNSURE.
+    """
+    new_text = np.zeros(len(points) + 1, bool)
+    new_text[first] = new_text[-1] = True
+    space, blank = kinds == SPACE, points == ord(" ")
+    starts = new_text[:-1].copy()
+    # A run of one kind is a word. Before it stands a blank that joins it, or a word that ends there.
+    starts[1:] |= (kinds[1:] != kinds[:-1]) & ~blank[:-1] | space[1:] & ~space[:-1]
+    # The last of a run of white space stands apart, unless the text ends with it.
+    last = space[1:].copy()
+    last[:-1] &= ~space[2:] & ~new_text[2:-1]
+    last[-1:] = False
+    starts[1:] |= last & space[:-1]
+    # An apostrophe that begins a word takes the letters of a contraction with it.
+    at = np.flatnonzero((points == ord("'")) & starts)
+    text_end = np.flatnonzero(new_text)
+    room = text_end[np.searchsorted(text_end, at, "right")] - at
+    one, two = (points[np.minimum(at + k, len(points) - 1)] for k in (1, 2))
+    pair = (room > 2) & (((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l")))
+    single = (room > 1) & np.isin(one, [*map(ord, "stmd")])
+    for taken, length in ((at[single], 2), (at[pair], 3)):
+        starts[taken + 1] = False
+        end = taken + length
+        starts[end[end < len(starts)]] = True
+    return starts
+
+
+def _cuts_by_pattern(tokenizer: dict) -> bool:
+    """Whether all the tokenizer does to a text is to cut it by ``PATTERN`` and to merge the bytes of each word."""
+    if any(tokenizer.get(k) for k in ("normalizer", "truncation", "padding")) or not all(t.get("special") for t in tokenizer["added_tokens"]):
+        return False
+    if tokenizer["model"].get("dropout") or byte_characters()[APART] not in tokenizer["model"]["vocab"]:
+        return False
+    step = tokenizer.get("pre_tokenizer") or {}
+    match step.get("pretokenizers", [step]):
+        case [{"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}]:
+            return True
+        case [{"type": "Split", "pattern": {"Regex": pattern}, "behavior": "Isolated", "invert": False},
+              {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}]:
+            return pattern == PATTERN
+    return False
+
+
 # --- encoding ----------------------------------------------------------------
 
+def _binary(edges: np.ndarray, data: bytes) -> pa.LargeBinaryArray:
+    """The parts of the data between the edges."""
+    return pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype("<i8")), pa.py_buffer(data)])
+
+
+def _edges(values: pa.LargeBinaryArray) -> np.ndarray:
+    return np.frombuffer(values.buffers()[1], "<i8")[values.offset:values.offset + len(values) + 1]
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers.
 
-    The pattern never matches across a lone blank's left side, so a text is the
-    chain of its pieces between such blanks. Each distinct piece is encoded by
-    the library once and then looked up: texts repeat their words.
+    A text is the chain of its words, the matches of the tokenizer's pattern.
+    Each distinct word is encoded by the library once and then looked up: texts
+    repeat their words.
+
+    Of a tokenizer with another pattern, or a text with characters whose class
+    is not sure, the library cuts the words: no match reaches across a lone
+    blank's left side, so a text is the chain of its pieces between such
+    blanks, and pieces are looked up.
     """
 
     def __init__(self, tokenizer: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_str(tokenizer)
         self.library.encode_special_tokens = True
+        content = json.loads(tokenizer)
+        self.by_words = _cuts_by_pattern(content)
+        if self.by_words:
+            apart = byte_characters()[APART]
+            self.apart = content["model"]["vocab"][apart]
+            self.merger = Tokenizer(self.library.model)
+            self.merger.pre_tokenizer = pre_tokenizers.Split(apart, "isolated")
+            self.code_points = np.array([*map(ord, byte_characters())], "<u4")
+        self.words = self.word_ids = pa.array([], pa.large_binary())
         self.after_blank = np.array([t[:1] == b" " for t in token_bytes(tokenizer)])
         self.heads: dict[str, bytes] = {}
         #: Pieces after a blank; False for those that are not the whole of a piece.
@@ -124,7 +226,7 @@ class Encoder:
     def _encode_tails(self, pieces: list[str]) -> list[bytes]:
         """Pieces without a blank inside, each after one: encoded as one text, cut where a token begins with a blank."""
         found: list[bytes] = []
-        for group in grouped(pieces) if sum(map(len, pieces)) > GROUP else [pieces] if pieces else []:
+        for group in grouped(pieces, GROUP) if sum(map(len, pieces)) > GROUP else [pieces] if pieces else []:
             ids = np.array(self.library.encode_batch_fast([" " + " ".join(group)], add_special_tokens=False)[0].ids, "<u4")
             begins = np.flatnonzero(self.after_blank[ids])
             if len(begins) != len(group):
@@ -156,11 +258,60 @@ class Encoder:
         return self._encode([head])[0] + b"".join(known)
 
     def forget(self) -> None:
+        self.words = self.word_ids = pa.array([], pa.large_binary())
         self.heads, self.tails = {}, {}
 
+    def _learn_words(self, words: pa.LargeBinaryArray) -> None:
+        """Words merged by the library side by side, cut where the byte between them stands."""
+        edges = _edges(words)
+        parts = np.unique([*np.searchsorted(edges, np.arange(edges[0], edges[-1], MERGED)), len(words)]).tolist()
+        learnt = [self.word_ids]
+        for a, b in zip(parts, parts[1:]):
+            data = np.frombuffer(words.buffers()[2], "u1")[edges[a]:edges[b]]
+            characters = self.code_points[np.insert(data, edges[a + 1:b] - edges[a], APART)].tobytes().decode("utf-32-le")
+            ids = np.array(self.merger.encode_batch_fast([characters], add_special_tokens=False)[0].ids, "<u4")
+            between = ids == self.apart
+            if between.sum() != b - a - 1:
+                raise ValueError("the tokenizer's merges reach across words")
+            ends = np.append(np.flatnonzero(between), len(ids)) - np.arange(b - a)
+            learnt.append(_binary(4 * np.append(0, ends), ids[~between].tobytes()))
+        self.words, self.word_ids = pa.concat_arrays([self.words, words]), pa.concat_arrays(learnt)
+
+    def _encode_by_words(self, texts: list[str]) -> list[bytes | None]:
+        """Ids of each text; None for one with an unsure character."""
+        if not any(texts):
+            return [b""] * len(texts)
+        whole = "".join(texts)
+        points = np.frombuffer(whole.encode("utf-32-le"), "<u4")
+        kinds = character_kinds()[points]
+        edges = np.cumsum([0, *map(len, texts)])
+        if unsure := set((np.searchsorted(edges, np.flatnonzero(kinds == UNSURE), "right") - 1).tolist()):
+            found = iter(self._encode_by_words([t for i, t in enumerate(texts) if i not in unsure]))
+            return [None if i in unsure else next(found) for i in range(len(texts))]
+        starts = np.flatnonzero(word_starts(points, kinds, edges[:-1][np.diff(edges) > 0]))
+        data = whole.encode()
+        cuts = starts if len(data) == len(points) else np.flatnonzero((np.frombuffer(data, "u1") & 0xC0) != 0x80)[starts]
+        words = _binary(np.append(cuts, len(data)), data).dictionary_encode()
+        at = pc.index_in(words.dictionary, self.words)
+        new, known = words.dictionary.filter(at.is_null()), len(self.words)
+        at = at.fill_null(-1).to_numpy().copy()
+        at[at < 0] = known + np.arange(len(new))
+        if len(new):
+            self._learn_words(new)
+        ids = self.word_ids.take(pa.array(at[words.indices.to_numpy()]))
+        ends = _edges(ids)[np.searchsorted(starts, edges)].tolist()
+        found = memoryview(ids.buffers()[2] or b"")
+        return [bytes(found[a:b]) for a, b in zip(ends, ends[1:])]
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.tails) + len(self.heads) > REMEMBERED:
+        if len(self.words) + len(self.tails) + len(self.heads) > REMEMBERED:
             self.forget()
+        found = self._encode_by_words(texts) if self.by_words else [None] * len(texts)
+        left = (t for t, ids in zip(texts, found) if ids is None)
+        others = chain.from_iterable(map(self._encode_by_pieces, grouped(left, GROUP)))
+        return [next(others) if ids is None else ids for ids in found]
+
+    def _encode_by_pieces(self, texts: list[str]) -> list[bytes]:
         split = [t.split(" ") for t in texts]
         self._learn_heads(parts[0] for parts in split)
         # All pieces are looked up once; only those not found are looked at again.
@@ -188,18 +339,21 @@ def _encoder(tokenizer: str) -> Encoder:
     return Encoder(tokenizer)
 
 
-#: Characters encoded together, and rows that leave a worker together at most.
+#: Characters cut into words together, bytes of words merged together, characters of pieces encoded together, and rows
+#: that leave a worker together at most.
+TOGETHER = 1 << 21
+MERGED = 1 << 17
 GROUP = 1 << 20
 ROWS = 1 << 11
 
 
-def grouped(texts: Iterable[str]) -> Iterator[list[str]]:
-    """Lists of consecutive texts of about GROUP characters."""
+def grouped(texts: Iterable[str], most: int) -> Iterator[list[str]]:
+    """Lists of consecutive texts of about ``most`` characters."""
     group, size = [], 0
     for t in texts:
         group.append(t)
         size += len(t)
-        if size >= GROUP:
+        if size >= most:
             yield group
             group, size = [], 0
     if group:
@@ -214,7 +368,7 @@ def forget(tokenizer: str) -> None:
 
 def encode_texts(tokenizer: str, texts: Iterable[str]) -> Iterator[bytes]:
     encoder = _encoder(tokenizer)
-    for group in grouped(texts):
+    for group in grouped(texts, TOGETHER):
         yield from encoder.encode(group)
 
 
@@ -234,7 +388,7 @@ def encode_with_special(tokenizer: str, texts: Iterable[str]) -> Iterator[bytes]
     others go by pieces.
     """
     encoder, (library, special) = _encoder(tokenizer), _as_given(tokenizer)
-    for group in grouped(texts):
+    for group in grouped(texts, TOGETHER):
         marked = [special.search(t) is not None for t in group]
         plain = iter(encoder.encode([t for t, m in zip(group, marked) if not m]))
         for text, m in zip(group, marked):
