@@ -149,3 +149,34 @@ def test_scaled_steps_of_one_row_are_added():
         W._add_scaled(got, at, scale, steps)
         np.add.at(want, at.ravel(), (scale[:, :, None] * steps[:, None, :]).reshape(-1, 3))
         assert got == pytest.approx(want, abs=1e-4)
+
+
+def test_a_pass_moves_one_row_for_a_part_and_bucket(spark, monkeypatch):
+    moved, averaged = [], W._averaged
+
+    def seen(trained, *given):
+        moved.append(trained.count())
+        return averaged(trained, *given)
+
+    monkeypatch.setattr(W, "_averaged", seen)
+    monkeypatch.setattr(W, "LEAST_WORDS", 12_000)
+    # 41 words in three parts, in eight buckets at most.
+    model = W.fit_cbow(spark.createDataFrame(topical(), SCHEMA), dim=4, epochs=1)
+    assert model.table.count() == 41
+    assert moved and moved[0] <= 3 * 8
+
+
+def test_texts_are_numbered_by_groups(spark, monkeypatch):
+    df = spark.createDataFrame([(i, t) for i, t in topical(200)] + [(None, ["é", None, ""] * 4), (7, [])], SCHEMA)
+    whole = {r.word: (r.n, r.vector) for r in W.fit_cbow(df, dim=4, epochs=2).table.collect()}
+    assert whole["é"][0] == whole[""][0] == 4
+    monkeypatch.setattr(W, "GROUP_WORDS", 100)
+    assert {r.word: (r.n, r.vector) for r in W.fit_cbow(df, dim=4, epochs=2).table.collect()} == whole
+
+
+def test_runs_are_folded():
+    rng = np.random.default_rng(5)
+    sizes = rng.integers(1, 40, 60)
+    first = np.cumsum(sizes) - sizes
+    steps = rng.random((sizes.sum(), 3))
+    assert W._folded(steps.copy(), first) == pytest.approx(np.add.reduceat(steps, first))
